@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_QUERIES = {"op1_near_dedup": "minhash", "op5_substring": "substring", "op6_url_filter": "urlfilter", "op9_bpe": "bpe", "op10_warc": "warc"}
+_QUERIES = {"op1_near_dedup": "minhash", "op2_decontaminate": "decontaminate", "op3_quality": "quality", "op4_toxicity": "toxicity", "op5_substring": "substring", "op6_url_filter": "urlfilter", "op7_secrets": "secrets", "op8_licenses": "licenses", "op9_bpe": "bpe", "op10_warc": "warc"}
 
 
 def queries() -> dict:
