@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import tables  # noqa: F401
+from .base import ORACLES, QUERIES
+
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return dict(ORACLES)
