@@ -65,7 +65,7 @@ def exposure_slots(ranked: DataFrame, k: int, cap: int) -> DataFrame:
                     out.append((user, item, placed))
         return pd.DataFrame(out, columns=["user_id", "item_id", "slot"])
 
-    return ranked.groupBy(F.lit(0)).applyInPandas(run, "user_id bigint, item_id bigint, slot bigint")
+    return ranked.withColumn("shard", F.lit(0)).groupBy("shard").applyInPandas(run, "user_id bigint, item_id bigint, slot bigint")
 
 
 def pareto(points: DataFrame, x: str, y: str, key: str) -> DataFrame:
