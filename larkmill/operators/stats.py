@@ -99,6 +99,6 @@ def bootstrap(pairs: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
         if total is not None:
             yield pd.DataFrame({"round": np.arange(rounds), "w": total[0], "s": total[1]})
 
-    means = pairs.select("key", "d").mapInPandas(run, "round int, w double, s double").groupBy("round").agg((F.sum("s") / F.sum("w")).alias("m"))
+    means = pairs.select("key", "d").mapInPandas(run, "round int, w double, s double").groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     point = pairs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
     return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.avg((F.col("m") <= 0).cast("double")).alias("p")).crossJoin(point)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import models, sequences, statistics, tables  # noqa: F401
+from . import evaluation, models, sequences, statistics, tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
