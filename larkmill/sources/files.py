@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,6 @@ def reviews(spark: SparkSession, path: str) -> DataFrame:
 
 def literals(spark: SparkSession, path: str) -> DataFrame:
     """Python-literal lines of item metadata, with empty defaults; lines that don't parse raise an error."""
-    import pandas as pd
-
     @F.pandas_udf(META)
     def parse(lines: pd.Series) -> pd.DataFrame:
         found = [ast.literal_eval(x) for x in lines]
