@@ -46,10 +46,10 @@ SITE_RULES = (site_rule("block", "net/"), site_rule("allow", "example.net/en/"),
 
 #: Patterns of advertising, tracking, adult, gambling and malware addresses.
 PATTERN_RULES = (
-    pattern_rule("ad server", r"^ads?[0-9]*\.", "ads"),
-    pattern_rule("tracker pixel", r"/(track|pixel)\.(gif|png)$", "gif"),
-    pattern_rule("click tracker", r"^(click|track)\.[^/]*/", "click"),
-    pattern_rule("adult host", r"^([^/]*\.)?(porn|xxx)\.[^/]*/", "porn"),
+    pattern_rule("ad server", r"^ads\.[^/]*/", "ads"),
+    pattern_rule("tracker image", r"/(track|pixel)\.gif$", "gif"),
+    pattern_rule("click tracker", r"^click\.[^/]*/", "click"),
+    pattern_rule("adult host", r"^([^/]*\.)?porn\.[^/]*/", "porn"),
     pattern_rule("casino host", r"^([^/]*\.)?casino\.[^/]*/", "casino"),
     pattern_rule("phishing login", r"/(secure|verify)/login(/|$)", "login"),
     pattern_rule("executable", r"/[^/]+\.exe$", "exe"),

@@ -1,0 +1,280 @@
+"""Operators against plain versions, and on odd, repeated and empty tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from larkmill.llm import bpe, decontaminate, licenses, minhash, quality, secrets, substring, toxicity, urlfilter, warc
+from larkmill.llm.kernel import word_hashes
+
+WORDS = [a + b for a in ("ba", "ko", "mi", "ru", "se", "ta", "vo", "zu") for b in ("n", "rt", "sk", "lle", "m")]
+
+
+def corpus(seed, n):
+    """Texts with copies, edits and shared passages."""
+    rng = random.Random(seed)
+    text = lambda k: [rng.choice(WORDS) for _ in range(k)]
+    passage = text(20)
+    out = []
+    for i in range(n):
+        kind = rng.random()
+        if out and kind < 0.15:
+            out.append(list(rng.choice(out)))
+        elif out and kind < 0.45:
+            t = list(rng.choice(out))
+            for _ in range(max(1, len(t) // 60)):
+                t[rng.randrange(len(t))] = rng.choice(WORDS)
+            out.append(t)
+        elif kind < 0.6:
+            at = rng.randrange(30)
+            t = text(60)
+            out.append(t[:at] + passage + t[at:])
+        else:
+            out.append(text(rng.choice([3, 8, 30, 120, 400])))
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def plain(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if w]
+
+
+def shingles(words, k=5):
+    return Counter(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else Counter()
+
+
+def groups_by_force(docs):
+    sets = {i: shingles(plain(t)) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = sum((sets[a] & sets[b]).values())
+            if both and both / sum((sets[a] | sets[b]).values()) >= 0.8 - 1e-12:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def test_word_hashes_cut_at_rows_and_space():
+    h, first = word_hashes(pa.array(["ab cd", None, "ab\x0bcd", "abcd", ""]), plain=False)
+    assert first.tolist() == [0, 2, 2, 4, 5, 5]
+    assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_signatures_estimate_weighted_similarity():
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    ca, cb = rng.integers(1, 6, 300), rng.integers(1, 6, 300)
+    row = np.repeat([0, 1], 300)
+    sig = minhash.signatures(row, np.concatenate((a, a)), np.concatenate((ca, cb)), 2, k=4000)
+    want = np.minimum(ca, cb).sum() / np.maximum(ca, cb).sum()
+    assert abs((sig[0] == sig[1]).mean() - want) < 0.04
+
+
+def test_near_duplicates_like_brute_force(spark):
+    docs = corpus(1, 160)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == groups_by_force(docs)
+
+
+def test_containment_like_brute_force(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.choice([3, 12, 30, 70])))) for k in range(12)]
+    docs = corpus(5, 60)
+    for k, (i, t) in enumerate(docs[:24]):
+        w = t.split()
+        q = items[k % 12][1].split()
+        q = q if k % 3 else q[: max(1, int(len(q) * 0.9))]
+        docs[k] = (i, " ".join(w[: len(w) // 2] + q + w[len(w) // 2 :]))
+    got = {(r["doc_id"], r["item_id"]): round(r["containment"], 9) for r in decontaminate.contained(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = {}
+    for i, t in docs:
+        held = set(shingles(plain(t)))
+        for k, q in items:
+            s = set(shingles(plain(q)))
+            if len(s & held) / len(s) >= 0.8:
+                want[i, k] = round(len(s & held) / len(s), 9)
+    assert got == want and len(want) >= 12
+
+
+def removed_by_force(docs, window=13):
+    first = {}
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs}
+    for i in sorted(split):
+        for k in range(len(split[i]) - window + 1):
+            first.setdefault(tuple(split[i][k : k + window]), i)
+    out = {}
+    for i, w in split.items():
+        gone = {k + j for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i for j in range(window)}
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return out
+
+
+def test_repeats_like_brute_force(spark):
+    docs = corpus(7, 300)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df, kept_text=False).collect()}
+    assert got == removed_by_force(docs)
+
+
+def test_base_rules_like_brute_force(spark):
+    docs = corpus(9, 80) + [(900, "a b c d e a b c d e a b c d e\na b\n a b\na b"), (901, "# * $ %\n\n\n"), (902, "q " * 40)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id bigint, text string, lang string, source string")
+    for r in quality.base_statistics(df).collect():
+        t = dict(docs)[r["doc_id"]]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        wins = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        many = Counter(wins)
+        covered = {k + j for k, x in enumerate(wins) if many[x] > 1 for j in range(5)}
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+
+
+def test_estimates_withstand_a_fifth_of_outliers(spark):
+    rng = np.random.default_rng(1)
+    good = rng.multivariate_normal([1, 0, 0, 0], np.diag([0.04, 0.01, 0.01, 0.04]), 800)
+    bad = rng.normal(5, 0.1, (200, 4))
+    rows = spark.createDataFrame([("g", *map(float, x)) for x in np.vstack((good, bad))], "g string, y0 double, y1 double, y2 double, y3 double")
+    e = quality.estimates(rows).first()
+    assert abs(e["m0"] - 1) < 0.05 and abs(e["m1"]) < 0.05 and 0.15 < e["l00"] < 0.27
+    judged = rows.join(quality.estimates(rows).drop("n"), "g").withColumn("d", quality._distance())
+    assert judged.where("d > 60 and y1 > 3").count() == 200 and judged.where("d > 60 and y1 < 3").count() == 0
+
+
+def segments_by_force(scores):
+    """Maximal-scoring segments by their recursive definition."""
+    best = None
+    for a in range(len(scores)):
+        for b in range(a, len(scores)):
+            s = sum(scores[a : b + 1])
+            if s > 1e-9 and (best is None or s > best[0] + 1e-9 or abs(s - best[0]) < 1e-9 and b - a < best[2] - best[1]):
+                best = (s, a, b)
+    if best is None:
+        return []
+    s, a, b = best
+    return segments_by_force(scores[:a]) + [(a, b, s)] + [(x + b + 1, y + b + 1, z) for x, y, z in segments_by_force(scores[b + 1 :])]
+
+
+def test_segments_like_definition():
+    rng = random.Random(2)
+    for _ in range(200):
+        scores = [rng.choice([1.37, 2.11, 0.53]) if rng.random() < 0.3 else -0.25 for _ in range(rng.randint(1, 14))]
+        got = toxicity.segments([(i, s) for i, s in enumerate(scores) if s > 0])
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in segments_by_force(scores)]
+        assert all(abs(s - sum(scores[a : b + 1])) < 1e-9 for a, b, s in got)
+
+
+def test_toxicity_learns(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        w = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)]
+        for _ in range(3 * bad):
+            w[rng.randrange(60)] = "grumf" + rng.choice(["", "a", "et", "os"])
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    d, lab = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.learn(d, lab)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(d, model).collect()}
+    held = [r[0] for r in d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()]
+    right = sum(got[i]["predicted"] == dict(labels)[i] for i in held)
+    assert right / len(held) > 0.97 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert toxicity.drop_toxic(d, model).count() == sum(not r["predicted"] for r in got.values())
+
+
+def test_urls(spark):
+    urls = ["http://a.example.net/en/x", "https://EXAMPLE.net/de", "http://x.net", "http://fr.org/fr/1?q", "http://b.example.com/de/", "no scheme", None, "", "http://ads.shop.info/x", "http://u:p@h.org:80/fr/", "ftp://xnet/", "http://ex.org/FR/"]
+    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
+    assert got[0] == ("a.example.net", "example.net/en/", "allow") and got[1] == ("example.net", "net/", "block")
+    assert got[2] == ("x.net", None, "allow") and got[3][1:] == ("org/fr/", "allow") and got[4][1:] == ("example.com/de/", "block")
+    assert [got[k] for k in (5, 6, 7)] == [("", None, "allow")] * 3 and got[8][2] == "block" and got[10][1] is None and got[11][1] is None
+
+
+def test_every_match_of_a_pattern_holds_its_tokens():
+    texts = ["ads.x.y/", "a.b/track.gif", "a.b/pixel.gif", "click.x/", "a.porn.x/", "porn.x/", "www.casino.com/", "x.y/secure/login", "x.y/verify/login/z", "x.y/a/b.exe", "a.net/", "net/", "example.net/en/", "x.org/fr/", "example.com/de/q"]
+    hit = 0
+    for rule in urlfilter.SITE_RULES + urlfilter.PATTERN_RULES:
+        for t in texts:
+            if re.search(rule.regex, t):
+                hit += 1
+                assert set(rule.tokens) <= set(re.split("[^a-z0-9]+", t))
+    assert hit >= len(texts)
+
+
+@pytest.fixture(scope="session")
+def trees(spark):
+    return secrets.train(spark)
+
+
+def test_forest_on_unseen_findings(spark, trees):
+    rows = secrets.labelled_findings(spark, 9000).where("length(value) > 0").withColumn("f", F.array(*secrets.features(F.col("value"), F.col("before"), F.col("path"))))
+    judged = rows.select((secrets.votes(trees, F.col("f")) >= 0.5).cast("double").alias("p"), "secret")
+    assert judged.where("p = secret").count() / judged.count() > 0.97
+
+
+def test_secrets_found_and_masked(spark, trees):
+    key = hashlib.sha1(b"k").hexdigest()
+    docs = [(1, f'set token = "{key}" here'), (2, f"commit {key} by x"), (3, "card 4111111111111111 ok"), (4, f'api_key: "AKIA{"ABCD" * 4}1" and TOKEN = "{key.upper()}"'), (5, None), (6, 'password = "your_password_1"')]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert Counter(r["doc_id"] for r in secrets.scan_secrets(df, trees).collect()) == {1: 1, 4: 2}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df, trees).collect()}
+    assert masked[1] == 'set token = "[SECRET]" here' and masked[2] == docs[1][1] and masked[5] is None
+
+
+def test_licenses(spark):
+    docs = [(1, "x y\nReleased under the MIT License.\nz"), (2, "intro\n\n" + licenses.TEMPLATES["ISC"].replace("fee", "charge") + "\n\nend"), (3, "nothing of the kind"), (4, "this work is licensed under the gnu general public license version 2")]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {(1, "MIT-notice"), (2, "ISC"), (4, "GPL-notice")}
+
+
+def test_archives(spark, tmp_path):
+    html = ["<p>" + "a" * 200, "<p>" + "a" * 200, "short", "short", None, "", "é" * 80, "\r\n\r\n" * 60, "<p>" + "a" * 200]
+    pages = spark.createDataFrame([(i, None if i == 3 else f"http://h/{i} \n", h) for i, h in enumerate(html)], "page_id bigint, url string, html string").repartition(3)
+    typed = warc.with_types(pages)
+    index = warc.write_bundles(typed, f"file://{tmp_path}/w", frame_bytes=500)
+    got = {r["page_id"]: r for r in warc.read_bundles(index).collect()}
+    assert {i for i, r in got.items() if r["record_type"] == "revisit"} == {1, 8} and got[8]["refers_to"] == 0
+    for i, h in enumerate(html):
+        raw = (h or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert got[i]["payload"] == (None if i in (1, 8) else raw)
+    for r in index.collect():
+        with warc.opened(r["bundle"]) as f:
+            head, _ = warc.BundleReader(f).record(r["frame"], r["offset"], r["length"])
+            assert head["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>"
+
+
+def test_odd_tables(spark, odd, empty, bench_items, trees):
+    for docs, n in ((odd, 12), (empty.withColumn("n_chars", F.lit(0)), 0)):
+        near = minhash.near_duplicates(docs).collect()
+        assert len(near) == n
+        if n:
+            assert {(r["doc_id"], r["class_id"]) for r in near} >= {(8, 7), (7, 7), (None, None), (1, 1), (2, 2), (3, 3)}
+        pairs = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, bench_items).collect()}
+        assert pairs == ({(4, 4), (7, 1), (8, 1)} if n else set())
+        assert quality.judge(docs).count() == n
+        model = toxicity.learn(docs, spark.createDataFrame([(1, 0), (4, None), (7, 1), (None, 1)], "doc_id bigint, toxic int"))
+        assert toxicity.score_documents(docs, model).count() == n
+        assert toxicity.drop_toxic(docs, toxicity.Model({})).count() == n
+        cut = substring.remove_repeats(docs).collect()
+        assert len(cut) == n and {r["doc_id"]: r["n_removed"] for r in cut}.get(8, 16) == (17 if n else 16)
+        assert secrets.scan_secrets(docs, trees).count() == 0 and licenses.scan_licenses(docs).count() == 0
+        assert bpe.encode_documents(docs).count() == n
+        assert secrets.mask_secrets(docs, trees).columns == docs.columns
+        assert decontaminate.drop_contaminated(docs, bench_items).columns == docs.columns
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert urlfilter.filter_urls(pages).count() == 0 and warc.archive(pages)[1].count() == 0
