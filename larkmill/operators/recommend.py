@@ -45,9 +45,10 @@ def item_similarities(rows: DataFrame, k: int = 200) -> DataFrame:
 
 
 def item_knn(train: DataFrame, sims: DataFrame, k: int) -> DataFrame:
-    """(user_id, item_id, score, rank): sums of similarities to the history, seen items excluded."""
+    """(user_id, item_id, score, rank): sums of similarities (in whole billionths, so that their order does not matter) to the history,
+    seen items excluded."""
     have = train.select("user_id", "item_id").distinct()
-    scored = have.withColumnRenamed("item_id", "i").join(sims, "i").groupBy("user_id", F.col("j").alias("item_id")).agg(F.round(F.sum("sim"), 6).alias("score"))
+    scored = have.withColumnRenamed("item_id", "i").join(sims, "i").groupBy("user_id", F.col("j").alias("item_id")).agg((F.sum(F.round(F.col("sim") * 1e9).cast("bigint")) / 1e9).alias("score"))
     return top_k(scored.join(have, ["user_id", "item_id"], "left_anti"), ["user_id"], [F.desc("score"), "item_id"], k)
 
 

@@ -212,7 +212,7 @@ def _(t):
 SIMS = "WITH h AS (SELECT DISTINCT user_id, item_id FROM b_train), n AS (SELECT item_id, count(*) AS n FROM h GROUP BY item_id), s AS (SELECT a.item_id AS i, b.item_id AS j, round(count(*) / sqrt(any_value(x.n)::DOUBLE * any_value(y.n)), 9) AS sim FROM h a JOIN h b ON a.user_id = b.user_id AND a.item_id <> b.item_id JOIN n x ON x.item_id = a.item_id JOIN n y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id), k AS (SELECT * FROM s QUALIFY rank() OVER (PARTITION BY i ORDER BY sim DESC) <= 200)"
 
 
-@query("vec_22_item_knn", f"{SIMS} SELECT h.user_id, j AS item_id, round(sum(sim), 6) AS score FROM h JOIN k ON k.i = h.item_id WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.user_id = h.user_id AND o.item_id = j) GROUP BY h.user_id, j QUALIFY row_number() OVER (PARTITION BY h.user_id ORDER BY round(sum(sim), 6) DESC, j) <= 10")
+@query("vec_22_item_knn", f"{SIMS} SELECT h.user_id, j AS item_id, sum(round(sim * 1e9)::BIGINT)::DOUBLE / 1e9 AS score FROM h JOIN k ON k.i = h.item_id WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.user_id = h.user_id AND o.item_id = j) GROUP BY h.user_id, j QUALIFY row_number() OVER (PARTITION BY h.user_id ORDER BY sum(round(sim * 1e9)::BIGINT) DESC, j) <= 10")
 def _(t):
     return recommend.item_knn(t.train, recommend.item_similarities(t.train), 10).select("user_id", "item_id", "score")
 
