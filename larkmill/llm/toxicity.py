@@ -1,11 +1,12 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Tokens are lower-cased words; each has a feature for the word and one for its first 5, 4 and 3 letters, so that unseen words
+Tokens are lower-cased words; each has a feature for the word and one for its first 7, 5, 4 and 3 letters, so that unseen words
 of a known stem count. A feature's weight is its log-odds between toxic and clean labelled documents under a Dirichlet prior
 in proportion to its frequency in all documents; features whose log-odds are not significant have none. A text is a sequence
-of token scores: the weight of its most specific feature, or a penalty. One pass finds all maximal-scoring segments. Scores of
-the best segment among clean documents of some length follow an extreme-value law; a segment's log p-value under it is its
-significance, and a logistic curve fitted on the learning rows turns their sum into a score from 0 to 1.
+of token scores: the weight of its most specific feature, or a penalty. One pass finds all maximal-scoring segments. By the
+extreme-value law, the number of segments of at least some score in a clean text is Poisson distributed, with a mean that
+falls exponentially in the score and grows with the text; the least probable of the best r segments, over all r, is the
+evidence, and a logistic curve fitted on the learning rows turns it into a score from 0 to 1.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PRIOR, LEAST_PRIOR = 50.0, 0.5
 PENALTY = -0.25
 
 WORD = re.compile(r"[^\W_]+")
-STEMS = (5, 4, 3)
+STEMS = (7, 5, 4, 3)
 
 
 def features(word: str) -> list[str]:
@@ -69,7 +70,7 @@ def segments(scored: list[tuple[int, float]], penalty: float = PENALTY) -> list[
 
 @dataclass
 class Model:
-    """Weights of features, the extreme-value law (scale, and ln K of the location ln(K n) / scale) and the logistic curve."""
+    """Weights of features, the extreme-value law (scale and ln K) and the logistic curve."""
 
     weights: dict[str, float]
     scale: float = 1.0
@@ -99,13 +100,14 @@ class Model:
         return len(words), segments(scored) if scored else []
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
-        """Sum of -ln p over segments that are significant at 0.05, or the best one's."""
-        logs = []
-        for _, _, s in found:
-            e = math.exp(min(50.0, self.ln_k + math.log(max(n, 1)) - self.scale * s))
-            logs.append(-math.log(-math.expm1(-e)) if e > 1e-12 else -(self.ln_k + math.log(max(n, 1)) - self.scale * s))
-        strong = [x for x in logs if x > 3.0]
-        return min(sum(strong) if strong else max(logs, default=0.0), 60.0)
+        """Largest -ln p over r of the r best segments: a clean text of n tokens has Poisson many segments of a score of at least
+        s, K n exp(-scale s) on average; p is the chance of r or more."""
+        best = 0.0
+        for r, s in enumerate(sorted((x[2] for x in found), reverse=True)[:40], 1):
+            ln_e = self.ln_k + math.log(max(n, 1)) - self.scale * s
+            if ln_e < math.log(r):  # fewer expected than seen; the first term of the tail bounds it closely
+                best = max(best, math.lgamma(r + 1) - r * ln_e)
+        return min(best, 60.0)
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.offset))))
@@ -203,15 +205,12 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
 
     seen = sample.mapInArrow(scan, "n bigint, toxic int, scores array<double>").toPandas()
     sample.unpersist()
-    # the law of the best clean score: moments of a Gumbel variable of location ln(K n) / scale; one half-count at the least weight
+    # scores of segments of clean texts above the least weight fall off exponentially: rate and scale by maximum likelihood
     floor = min(weights.values(), default=1.0)
-    best = [(int(r.n), max(r.scores, default=0.0)) for r in seen.itertuples() if not r.toxic and r.n > 0]
-    values = [b for _, b in best] + [floor]
-    mean = sum(values) / len(values)
-    sd = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    model.scale = math.pi / (math.sqrt(6) * max(sd, 0.35 * floor))
-    logs = [math.log(m) for m, _ in best] or [0.0]
-    model.ln_k = model.scale * mean - 0.5772 - sum(logs) / len(logs)
+    clean = [x for r in seen.itertuples() if not r.toxic for x in r.scores if x >= floor]
+    tokens = sum(int(r.n) for r in seen.itertuples() if not r.toxic)
+    model.scale = (len(clean) + 1) / (sum(x - floor for x in clean) + 1.0)
+    model.ln_k = math.log((len(clean) + 0.5) / max(tokens, 1)) + model.scale * floor
     xs = [model.evidence(int(r.n), [(0, 0, s) for s in r.scores]) for r in seen.itertuples()]
     model.slope, model.offset = _fit_curve(xs, [int(t) for t in seen["toxic"]])
     return model
