@@ -29,7 +29,7 @@ COORDINATES = BANDS * DEPTH
 #: Expected empty coordinates before time is doubled: exp(-MARGIN).
 MARGIN = 4.0
 #: Members of a block in the comparison of unsettled buckets.
-BLOCK = 256
+BLOCK = 128
 #: Signature agreement from which a pair of an unsettled bucket is verified: 0.8 less four standard errors.
 AGREE = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 
@@ -156,19 +156,59 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sorted shingle lists with counts."""
+    (sa, ca), (sb, cb) = a, b
+    at = np.minimum(np.searchsorted(sa, sb), len(sa) - 1)
+    same = sa[at] == sb
+    both = int(np.minimum(ca[at[same]], cb[same]).sum())
+    return both / max(int(ca.sum() + cb.sum()) - both, 1)
+
+
 def _blocks(batches):
-    """Blocks of one unsettled bucket (two arrays of ids, components and signatures) to pairs that may be links."""
+    """Pairs of blocks of one unsettled bucket to links that join components.
+
+    A pair is looked at only in the first bucket that both members share. Pairs whose signatures agree enough are verified
+    from the most alike on, unless links found before already join them.
+    """
     import pyarrow as pa
 
     for batch in batches:
-        for left, right, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            (ia, ca, sa), (ib, cb, sb) = (([x["id"] for x in y], np.array([x["component"] for x in y]), np.frombuffer(b"".join(x["sig"] for x in y), "<u2").reshape(-1, COORDINATES)) for y in (left, right))
-            found: list[tuple[int, int]] = []
-            for i in range(len(ia)):
-                ok = (cb != ca[i]) & ((sb == sa[i]).mean(1) >= AGREE)
-                if same:
-                    ok[: i + 1] = False
-                found += [(min(ia[i], ib[j]), max(ia[i], ib[j])) for j in np.flatnonzero(ok)]
+        for key, same, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            members = left if same else left + right
+            split = 0 if same else len(left)
+            ids = [x["id"] for x in members]
+            component = np.array([x["component"] for x in members])
+            sig = np.frombuffer(b"".join(x["sig"] for x in members), "<u2").reshape(-1, COORDINATES)
+            keys = np.array([x["keys"] for x in members], np.int64)
+            likely = []
+            for i in range(split or len(members)):
+                j = np.arange(split or i + 1, len(members))
+                j = j[component[j] != component[i]]
+                first = (keys[j] == keys[i]).argmax(1)
+                j = j[keys[j, first] == key]
+                alike = (sig[j] == sig[i]).mean(1)
+                likely += [(-x, i, k) for x, k in zip(alike[alike >= AGREE].tolist(), j[alike >= AGREE].tolist(), strict=True)]
+            if not likely:
+                continue
+            wanted = sorted({k for _, i, j in likely for k in (i, j)})
+            row, shingle, count = weighted_shingles(pa.array([members[k]["text"] for k in wanted], pa.large_string()))
+            order = np.lexsort((shingle, row))
+            cut = np.searchsorted(row[order], np.arange(len(wanted) + 1))
+            sets = {k: (shingle[order[lo:hi]], count[order[lo:hi]]) for k, lo, hi in zip(wanted, cut[:-1], cut[1:], strict=True)}
+            parent = {c: c for c in component.tolist()}
+
+            def root(c, parent=parent):
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            found = []
+            for _, i, j in sorted(likely):
+                a, b = root(component[i]), root(component[j])
+                if a != b and _overlap(sets[i], sets[j]) >= SIMILARITY - 1e-12:
+                    parent[a] = b
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
@@ -180,7 +220,7 @@ def _labelled(ids: DataFrame, groups: DataFrame, column: str) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, links) for every row: class_id is the smallest id of the document's group, links the number of
-    verified pairs between different texts at the document's text that built the group.
+    verified pairs between different texts that built the group, at the document's text.
 
     Texts of equal plain words are copies. Texts without a word (null, empty, signs only) and rows of null id are alone.
     Repeated rows of an id give a row each. Ids should name one text; else its texts count as one. Other columns are not read.
@@ -209,12 +249,13 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     # buckets of four or more that still hold several groups: compare blocks of members over signatures
     labelled = _labelled(inside.where("n > 3").select("key", "n", "id"), groups, "id")
     mixed = labelled.groupBy("key").agg(F.min("id_group").alias("g1"), F.max("id_group").alias("g2")).where("g1 <> g2").select("key")
-    unsettled = labelled.join(mixed, "key").join(alone.select("id", "sig"), "id").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.struct("id", F.col("id_group").alias("component"), "sig").alias("member"))
-    blocks = unsettled.groupBy("key", "blocks", F.pmod(F.xxhash64("member.id"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list("member").alias("members"))
+    held = labelled.join(mixed, "key").join(alone.select("id", "sig", "keys"), "id").join(texts, "id")
+    member = F.struct("id", F.col("id_group").alias("component"), "sig", "keys", "text")
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = held.groupBy("key", F.pmod(F.xxhash64("id"), count).cast("int").alias("block")).agg(F.collect_list(member).alias("members"))
     blocks = staged(blocks, "blocks")
     left, right = blocks.select("key", F.col("block").alias("i"), F.col("members").alias("l")), blocks.select("key", F.col("block").alias("j"), F.col("members").alias("r"))
-    again = left.join(right, "key").where("i <= j").select("l", "r", (F.col("i") == F.col("j")).alias("same")).mapInArrow(_blocks, "a bigint, b bigint").distinct()
-    more = staged(_verified(again.join(pairs, ["a", "b"], "left_anti"), texts), "links")
+    more = left.join(right, "key").where("i <= j").select("key", (F.col("i") == F.col("j")).alias("same"), "l", "r").mapInArrow(_blocks, "a bigint, b bigint")
     links = staged(links.union(more).distinct(), "links")
     groups = staged(components(links), "groups")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
