@@ -30,6 +30,8 @@ LEAST_ROWS = 60
 #: Standard deviation below which a statistic of a group is not believed: ratios are often all zero.
 FLOORS = (0.02, 0.03, 0.08, 0.08)
 P = len(FLOORS)
+#: Groups up to which estimates are broadcast (under 200 bytes each); more are joined by shuffle.
+BROADCAST_GROUPS = 50_000
 
 
 def base_statistics(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -109,21 +111,26 @@ def _distance() -> Column:
     return sum((x * x for x in z), F.lit(0.0))
 
 
+def _few(groups: DataFrame) -> DataFrame:
+    """A written table of groups, broadcast if it is small: rows of a hot group then stay where they are."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Per key column g of rows (g, y0 ..): n, m*, l* of the reweighted minimum-covariance-determinant estimate."""
     medians = rows.groupBy("g").agg(*(F.percentile_approx(f"y{i}", 0.5, 10000).alias(f"m{i}") for i in range(P)))
-    spread = rows.join(medians, "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(f"y{i}") - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i in range(P)), *(F.first(m).alias(m) for m in _MEANS))
+    spread = rows.join(_few(staged(medians, "mcd")), "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(f"y{i}") - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i in range(P)), *(F.first(m).alias(m) for m in _MEANS))
     diagonal = [F.pow(F.col(f"a{i}") * 1.4826, 2).alias(f"c{i}{j}") if i == j else F.lit(0.0).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
     first = spread.select("g", F.lit(0).alias("start"), *_MEANS, *diagonal).union(rows.groupBy("g").agg(*_moments()).select("g", F.lit(1).alias("start"), *_MEANS, *_COVS))
     now = staged(first, "mcd")
     for _ in range(steps):
-        measured = rows.join(_factored(now, 1.0), "g").select("g", "start", *(f"y{i}" for i in range(P)), _distance().alias("d"))
+        measured = rows.join(_factored(_few(now), 1.0), "g").select("g", "start", *(f"y{i}" for i in range(P)), _distance().alias("d"))
         edge = staged(measured.groupBy("g", "start").agg(F.percentile_approx("d", SHARE, 10000).alias("edge")), "mcd")
-        inner = measured.join(edge, ["g", "start"]).where("d <= edge")
+        inner = measured.join(_few(edge), ["g", "start"]).where("d <= edge")
         now = staged(inner.groupBy("g", "start").agg(*_moments()).select("g", "start", *_MEANS, *_COVS), "mcd")
     ranked = _factored(now, _factor(SHARE))
     best = ranked.groupBy("g").agg(F.min_by(F.struct(*_MEANS, *(f"l{i}{j}" for i in range(P) for j in range(i + 1))), F.struct("det", "start")).alias("b")).select("g", "b.*")
-    weighed = rows.join(staged(best, "mcd"), "g").where(_distance() <= _quantile(0.975, P)).select("g", *(f"y{i}" for i in range(P)))
+    weighed = rows.join(_few(staged(best, "mcd")), "g").where(_distance() <= _quantile(0.975, P)).select("g", *(f"y{i}" for i in range(P)))
     total = rows.groupBy("g").agg(F.count("*").alias("size"))
     final = _factored(weighed.groupBy("g").agg(*_moments()), _factor(0.975)).join(total, "g")
     return staged(final.select("g", F.col("size").alias("n"), *_MEANS, *(f"l{i}{j}" for i in range(P) for j in range(i + 1))), "mcd")
@@ -140,7 +147,7 @@ def judge(documents: DataFrame, cutoff: float = CUTOFF, text: str = "text", key:
     rows = staged(rows.withColumn("fine", F.concat_ws("\n", name("lang"), name("source"))).withColumn("wide", name("lang")).drop("lang", "source", "n_lines"), "statistics")
     measured = rows.where("not base_failed").select(F.explode(F.array("fine", "wide")).alias("g"), *(f"y{i}" for i in range(P)))
     by = estimates(measured).where(F.col("n") >= LEAST_ROWS).drop("n")
-    far = lambda g: rows_of.join(by.withColumnRenamed("g", g), g, "left").withColumn(f"d_{g}", _distance()).drop(*by.columns)
+    far = lambda g: rows_of.join(_few(by.withColumnRenamed("g", g)), g, "left").withColumn(f"d_{g}", _distance()).drop(*by.columns)
     rows_of = rows
     rows_of = far("fine")
     rows_of = far("wide")
