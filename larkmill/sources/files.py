@@ -46,6 +46,7 @@ def reviews(spark: SparkSession, path: str) -> DataFrame:
 
 def literals(spark: SparkSession, path: str) -> DataFrame:
     """Python-literal lines of item metadata, with empty defaults; lines that don't parse raise an error."""
+
     @F.pandas_udf(META)
     def parse(lines: pd.Series) -> pd.DataFrame:
         found = [ast.literal_eval(x) for x in lines]
