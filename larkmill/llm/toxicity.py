@@ -141,16 +141,17 @@ def _spread(wanted: set[str]):
     return run
 
 
-def _fit_curve(xs: list[float], ys: list[int]) -> tuple[float, float]:
-    """Logistic regression on one variable, lightly ridged, by Newton steps."""
+def _fit_curve(xs: list[float], ys: list[int], counts: list[float] | None = None) -> tuple[float, float]:
+    """Logistic regression on one variable, lightly ridged, by Newton steps; a row counts as counts says, or once."""
     import numpy as np
 
     x, y = np.array(xs, float), np.array(ys, float)
+    c = np.ones(len(x)) if counts is None else np.array(counts, float)
     a, b = 0.0, 0.0
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(x * (y - p)).sum() - 1e-3 * a, (y - p).sum() - 1e-3 * b])
+        w = c * np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(c * x * (y - p)).sum() - 1e-3 * a, (c * (y - p)).sum() - 1e-3 * b])
         h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
         a, b = a + float(step[0]), b + float(step[1])
@@ -162,13 +163,15 @@ def _fit_curve(xs: list[float], ys: list[int]) -> tuple[float, float]:
 def learn(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Model of the labelled documents; rows whose crc32(doc_id) mod 5 is 0 are never learned from.
 
-    At most LEARN_ROWS rows of either class are used; the prior's frequencies cover all documents. A document with several
-    labels is toxic if one of them is. Without toxic or clean rows every score is the same.
+    At most LEARN_ROWS rows of either class are used; the prior's frequencies cover all documents. In the logistic curve a row
+    counts for all labelled rows of its class that it stands for, so that a score means the same at every size. A document
+    with several labels is toxic if one of them is. Without toxic or clean rows every score is the same.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit("learn"))
+    stands_for = {r["toxic"]: max(1.0, r["n"] / LEARN_ROWS) for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = known.where("toxic = 1").orderBy(order, "doc_id").limit(LEARN_ROWS).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(LEARN_ROWS))
     sample = docs.join(F.broadcast(rows), "doc_id").select("text", "toxic").persist()
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -212,7 +215,8 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     model.scale = (len(clean) + 1) / (sum(x - floor for x in clean) + 1.0)
     model.ln_k = math.log((len(clean) + 0.5) / max(tokens, 1)) + model.scale * floor
     xs = [model.evidence(int(r.n), [(0, 0, s) for s in r.scores]) for r in seen.itertuples()]
-    model.slope, model.offset = _fit_curve(xs, [int(t) for t in seen["toxic"]])
+    ys = [int(t) for t in seen["toxic"]]
+    model.slope, model.offset = _fit_curve(xs, ys, [stands_for[y] for y in ys])
     return model
 
 

@@ -196,6 +196,30 @@ def test_toxicity_learns(spark):
     assert toxicity.drop_toxic(d, model).count() == sum(not r["predicted"] for r in got.values())
 
 
+def test_toxicity_threshold_does_not_move_with_the_sample(spark, monkeypatch):
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(1500):
+        bad = i % 10 == 0
+        w = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)]
+        for _ in range(rng.choice([0, 1, 2, 3]) if bad else rng.random() < 0.1):
+            w[rng.randrange(60)] = "grumf" + rng.choice(["", "a", "et", "os"])
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    d, lab = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    whole = toxicity.learn(d, lab)
+    monkeypatch.setattr(toxicity, "LEARN_ROWS", 130)  # cuts the clean class only
+    cut = toxicity.learn(d, lab)
+    # without counts the offset would rise by ln of the ratio of the two rates, about 2.1
+    assert abs(cut.offset - whole.offset) < 0.7
+
+
+def test_curve_counts_rows():
+    xs, ys = [0.0, 1.0, 2.0, 3.0, 1.0, 4.0], [0, 0, 0, 1, 1, 1]
+    a = toxicity._fit_curve(xs, ys, [3, 3, 3, 1, 1, 1])
+    assert a == pytest.approx(toxicity._fit_curve(xs[:3] * 3 + xs[3:], ys[:3] * 3 + ys[3:]))
+
+
 def test_urls(spark):
     urls = ["http://a.example.net/en/x", "https://EXAMPLE.net/de", "http://x.net", "http://fr.org/fr/1?q", "http://b.example.com/de/", "no scheme", None, "", "http://ads.shop.info/x", "http://u:p@h.org:80/fr/", "ftp://xnet/", "http://ex.org/FR/"]
     got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
