@@ -103,10 +103,11 @@ class Model:
         """Largest -ln p over r of the r best segments: a clean text of n tokens has Poisson many segments of a score of at least
         s, K n exp(-scale s) on average; p is the chance of r or more."""
         best = 0.0
-        for r, s in enumerate(sorted((x[2] for x in found), reverse=True)[:40], 1):
+        for r, s in enumerate(sorted((x[2] for x in found), reverse=True), 1):
             ln_e = self.ln_k + math.log(max(n, 1)) - self.scale * s
-            if ln_e < math.log(r):  # fewer expected than seen; the first term of the tail bounds it closely
-                best = max(best, math.lgamma(r + 1) - r * ln_e)
+            if ln_e < math.log(r):  # fewer expected than seen; the tail's terms fall at least like a geometric row from the first
+                e = math.exp(ln_e)
+                best = max(best, e + math.lgamma(r + 1) - r * ln_e + math.log1p(-e / (r + 1)))
         return min(best, 60.0)
 
     def score(self, evidence: float) -> float:

@@ -214,6 +214,17 @@ def test_toxicity_threshold_does_not_move_with_the_sample(spark, monkeypatch):
     assert abs(cut.offset - whole.offset) < 0.7
 
 
+def test_evidence_looks_at_all_segments():
+    from math import exp, fsum, lgamma, log
+
+    m = toxicity.Model({}, scale=1.0, ln_k=log(75 / 10_000) + 1.0)  # 75 segments of a score of 1 expected in 10,000 tokens
+    for r in (120, 150, 1000):
+        p = fsum(exp(k * log(75) - 75 - lgamma(k + 1)) for k in range(r, r + 400))
+        want = 60.0 if not p else min(-log(p), 60.0)
+        assert m.evidence(10_000, [(0, 0, 1.0)] * r) == pytest.approx(want, abs=0.3)
+    assert m.evidence(10_000, [(0, 0, 1.0)] * 70) < 1e-9
+
+
 def test_curve_counts_rows():
     xs, ys = [0.0, 1.0, 2.0, 3.0, 1.0, 4.0], [0, 0, 0, 1, 1, 1]
     a = toxicity._fit_curve(xs, ys, [3, 3, 3, 1, 1, 1])
