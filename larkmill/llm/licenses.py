@@ -1,12 +1,15 @@
 """Licence scan: normalised text compared to licence templates by Dice coefficient over word bigrams.
 
-Units are the whole text, its paragraphs and its lines. A unit of n distinct bigrams can reach Dice t with a template of m
-only where t / (2 - t) <= n / m <= (2 - t) / t; templates outside these bounds are not compared. Everything happens within
-the row: there is no join and no shuffle.
+Units are the whole text, its paragraphs, its lines and its windows: all runs of words, across lines and sentences, of up to
+the length below. A unit of n distinct bigrams can reach Dice t with a template of m only where t / (2 - t) <= n / m <=
+(2 - t) / t; templates outside these bounds are not compared. Windows are as long as the upper bound allows for the template
+with its repeated bigrams, and are looked at only in texts that hold the lower bound's number of the template's bigrams. The
+best window starts at one of them. Everything happens within the row: there is no join and no shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,10 +36,56 @@ TEMPLATES = {
 }
 
 
+def _bigrams(text: str) -> list[str]:
+    words = [w for w in re.split(NOT_WORD, re.sub("[0-9]+", "0", text.lower())) if w]
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
 def template_bigrams(text: str) -> list[str]:
     """Distinct bigrams of a normalised template: lower case, digits as one sign, words only."""
-    words = [w for w in re.split(NOT_WORD, re.sub("[0-9]+", "0", text.lower())) if w]
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+    return list(dict.fromkeys(_bigrams(text)))
+
+
+def longest_window(text: str, threshold: float = THRESHOLD) -> int:
+    """Most bigrams, with repeats, of a window that is compared to a template."""
+    return int(len(_bigrams(text)) * (2 - threshold) / threshold + 1e-9)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pairs(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", words[i], words[i + 1]))
+
+
+def _earlier(pairs: Column) -> Column:
+    """Per bigram of a text the place where it stood before, -1 at first."""
+    place = lambda s: F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), F.when((k > 0) & (F.get(s, k - 1)["x"] == x["x"]), F.get(s, k - 1)["i"]).otherwise(-1).alias("was")))
+    return F.transform(F.sort_array(_let(F.sort_array(F.transform(pairs, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), place)), lambda x: x["was"])
+
+
+def _best_window(pairs: Column, earlier: Column, t: Column) -> Column:
+    """Largest Dice coefficient of a template t and a window; distinct bigrams are those that did not stand in the window before."""
+    steps = F.transform(pairs, lambda x, i: F.struct(F.array_contains(t["bigrams"], x).alias("hit"), F.get(earlier, i).alias("was")))
+    one = lambda c: c.cast("int")
+
+    def walk(steps, a):
+        def step(acc, x):
+            return _let(
+                F.struct((acc["n"] + one(x["was"] < a)).alias("n"), (acc["c"] + one(x["hit"] & (x["was"] < a))).alias("c")),
+                lambda now: F.struct(now["n"].alias("n"), now["c"].alias("c"), F.greatest(acc["best"], 2.0 * now["c"] / (now["n"] + t["m"])).alias("best")),
+            )
+
+        return F.aggregate(F.slice(steps, a + 1, t["longest"]), F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(0.0).alias("best")), step, lambda acc: acc["best"])
+
+    def over(steps):
+        hits = F.filter(F.transform(steps, lambda x, i: F.when(x["hit"], i)), lambda i: i.isNotNull())
+        starts = _let(hits, lambda h: F.filter(h, lambda a, k: F.get(h, k + t["least"] - 1) < a + t["longest"]))
+        return F.array_max(F.transform(starts, lambda a: walk(steps, a)))
+
+    return _let(steps, over)
 
 
 def _words(unit: Column) -> Column:
@@ -46,8 +95,8 @@ def _words(unit: Column) -> Column:
 def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, license, dice, unit) of the templates that units of a document reach, the best unit of each (then the first).
 
-    unit is the number of the unit among the distinct ones: the whole text, then lines, then paragraphs. Digits count as one
-    sign, so that versions do not matter. Null, empty and one-word units have no bigram and match nothing. Repeated rows give
+    unit is the number of the unit among the distinct ones: the whole text, then lines, then paragraphs; windows have the
+    whole text's, 0. Digits count as one sign, so that versions do not matter. Null, empty and one-word units have no bigram and match nothing. Repeated rows give
     rows each. Other columns are not read.
     """
     grams = {name: template_bigrams(t) for name, t in templates.items()}
@@ -59,13 +108,23 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES, t
     # a unit within the bounds has at least two words and no more letters than words of some length could have
     docs = docs.select("doc_id", F.posexplode(units).alias("unit", "part"))
     docs = bound(docs.where(F.length("part") >= 3).select("doc_id", "unit", _words(F.col("part")).alias("words")).where(F.size("words") >= 2), "w", F.col("words")).select("doc_id", "unit", "w")
-    docs = bound(docs.where(F.size("w") - 1 >= least), "g", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.col("w")[i], F.col("w")[i + 1])))).select("doc_id", "unit", "g").where(F.size("g").between(int(least), int(most) + 1))
+    docs = bound(docs.where(F.size("w") - 1 >= least), "g", F.array_distinct(_pairs(F.col("w")))).select("doc_id", "unit", "w", "g").where((F.col("unit") == 0) | F.size("g").between(int(least), int(most) + 1))
+    every = list(dict.fromkeys(b for g in grams.values() for b in g))
+    made = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, g)).alias("bigrams"), F.lit(len(g)).alias("m"), F.lit(math.ceil(len(g) * ratio - 1e-9)).alias("least"), F.lit(longest_window(templates[name], threshold)).alias("longest")) for name, g in grams.items()))
+    # a window has no more of a template's bigrams than the whole text
+    held = F.when(F.col("unit") == 0, F.filter("g", lambda x: x.isin(*every))).otherwise(F.array().cast("array<string>"))
+    docs = bound(docs, "h", held)
+    near = F.when(F.size("h") >= math.ceil(least - 1e-9), F.filter(made, lambda t: F.size(F.array_intersect("h", t["bigrams"])) >= t["least"])).otherwise(F.slice(made, 1, 0))
+    docs = bound(docs, "t", near)
+    docs = bound(docs, "p", F.when(F.size("t") > 0, _pairs(F.col("w"))))
+    docs = bound(docs, "e", F.when(F.size("t") > 0, _earlier(F.col("p")))).select("doc_id", "unit", "g", "t", "p", "e")
+    windows = F.transform("t", lambda t: F.struct(t["license"].alias("license"), _best_window(F.col("p"), F.col("e"), t).alias("dice")))
     found = []
     for name, bigrams in grams.items():
         dice = 2.0 * F.size(F.array_intersect("g", F.array(*map(F.lit, bigrams)))) / (F.size("g") + len(bigrams))
         fits = (F.size("g") >= len(bigrams) * ratio) & (F.size("g") <= len(bigrams) / ratio)
         found.append(F.when(fits, F.struct(F.lit(name).alias("license"), dice.alias("dice"))))
-    hits = docs.select("doc_id", "unit", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull() & (x["dice"] >= threshold))).alias("x"))
+    hits = docs.select("doc_id", "unit", F.explode(F.filter(F.concat(F.array(*found), windows), lambda x: x.isNotNull() & (x["dice"] >= threshold))).alias("x"))
     best = hits.groupBy("doc_id", "x.license").agg(F.min(F.struct(-F.col("x.dice"), "unit")).alias("b"))
     return best.select("doc_id", "license", (-F.col("b.col1")).alias("dice"), F.col("b.unit").alias("unit"))
 

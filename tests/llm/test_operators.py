@@ -276,6 +276,34 @@ def test_licenses(spark):
     assert got == {(1, "MIT-notice"), (2, "ISC"), (4, "GPL-notice")}
 
 
+def test_licenses_inside_longer_documents(spark):
+    rng = random.Random(5)
+    other = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    mit = licenses.TEMPLATES["MIT"]
+    for end in ("following conditions:", "of the Software."):
+        mit = mit.replace(end + " ", end + "\n\n")
+    mit = "\n\n".join("\n".join(re.findall(r".{1,60}(?:\s|$)", p)) for p in mit.split("\n\n"))
+    notice = licenses.TEMPLATES["Apache-notice"]
+    docs = [(1, f"{other(300)}\n\nCopyright 2020 A\n\n{mit}\n\n{other(300)}"), (2, f"{other(20)}. {notice} {other(30)}\n{other(9)}"), (3, f"{other(80)} under the license of the software {other(5)}")]
+    docs += [(4, f"{other(9)} {notice[:33]} {other(2)} {notice[33:]} {notice} {other(4)}"), (5, f"{other(400)}\n{licenses.TEMPLATES['Zlib'].replace('. ', '.' + chr(10) * 2)} {other(3)}")]
+    got = {(r["doc_id"], r["license"]): r["dice"] for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    want = {}
+    for i, t in docs:
+        b = licenses._bigrams(t)
+        for name, template in licenses.TEMPLATES.items():
+            g = set(licenses.template_bigrams(template))
+            best = 0.0
+            for k in range(len(b) if len(g & set(b)) >= 0.6 * len(g) else 0):
+                seen, hit = set(), 0
+                for x in b[k : k + licenses.longest_window(template)]:
+                    hit += x in g and x not in seen
+                    seen.add(x)
+                    best = max(best, 2 * hit / (len(seen) + len(g)))
+            if best >= licenses.THRESHOLD:
+                want[i, name] = best
+    assert got == pytest.approx(want) and {(1, "MIT"), (2, "Apache-notice"), (5, "Zlib")} <= set(got)
+
+
 def test_archives(spark, tmp_path):
     html = ["<p>" + "a" * 200, "<p>" + "a" * 200, "short", "short", None, "", "é" * 80, "\r\n\r\n" * 60, "<p>" + "a" * 200]
     pages = spark.createDataFrame([(i, None if i == 3 else f"http://h/{i} \n", h) for i, h in enumerate(html)], "page_id bigint, url string, html string").repartition(3)
