@@ -25,7 +25,7 @@ SHARE = 0.75
 STEPS = 4
 #: Rejected beyond this squared distance: far outside what a heavy-tailed group of sound rows shows (chi-square 0.999 is 18.5).
 CUTOFF = 60.0
-#: Groups of fewer rows are judged by their language's estimate; languages of fewer reject nothing.
+#: Groups of fewer rows are judged by their language's estimate, languages of fewer by that of all rows.
 LEAST_ROWS = 60
 #: Standard deviation below which a statistic of a group is not believed: ratios are often all zero.
 FLOORS = (0.02, 0.03, 0.08, 0.08)
@@ -140,18 +140,24 @@ def judge(documents: DataFrame, cutoff: float = CUTOFF, text: str = "text", key:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance for every row.
 
     Null and empty texts have no words and fail the base rules. Null languages or sources are groups of their own. Rows of
-    groups that are too small have a null distance and are kept. Repeated rows give a row each.
+    languages that are too small are judged by all rows together. Repeated rows give a row each.
     """
     rows = base_statistics(documents, text, key).select("*", *(v.alias(f"y{i}") for i, v in enumerate(vector())), base_failed().alias("base_failed"))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     rows = staged(rows.withColumn("fine", F.concat_ws("\n", name("lang"), name("source"))).withColumn("wide", name("lang")).drop("lang", "source", "n_lines"), "statistics")
-    measured = rows.where("not base_failed").select(F.explode(F.array("fine", "wide")).alias("g"), *(f"y{i}" for i in range(P)))
+    passed = rows.where("not base_failed")
+    measured = passed.select(F.explode(F.array("fine", "wide")).alias("g"), *(f"y{i}" for i in range(P)))
     by = estimates(measured).where(F.col("n") >= LEAST_ROWS).drop("n")
     far = lambda g: rows_of.join(_few(by.withColumnRenamed("g", g)), g, "left").withColumn(f"d_{g}", _distance()).drop(*by.columns)
     rows_of = rows
     rows_of = far("fine")
     rows_of = far("wide")
-    distance = F.coalesce("d_fine", "d_wide")
+    if rows_of.where("d_fine is null and d_wide is null").isEmpty():
+        rows_of = rows_of.withColumn("d_all", F.lit(None).cast("double"))
+    else:  # one group, estimated apart: its only row is broadcast
+        whole = estimates(passed.select(F.lit("").alias("g"), *(f"y{i}" for i in range(P)))).drop("g", "n")
+        rows_of = rows_of.join(F.broadcast(whole), F.lit(True), "left").withColumn("d_all", _distance()).drop(*whole.columns)
+    distance = F.coalesce("d_fine", "d_wide", "d_all")
     kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))
     return rows_of.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), distance.alias("distance"))
 

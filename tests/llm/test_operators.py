@@ -154,6 +154,16 @@ def test_estimates_withstand_a_fifth_of_outliers(spark):
     assert judged.where("d > 60 and y1 > 3").count() == 200 and judged.where("d > 60 and y1 < 3").count() == 0
 
 
+def test_rare_languages_are_judged(spark):
+    rng = random.Random(6)
+    text = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    docs = [(i, text(60), "en", "s") for i in range(120)] + [(200 + i, text(60), lang, "s") for i, lang in enumerate(("fi", "fi", None))]
+    docs += [(300 + i, text(40) + " #" * 5 + " ###$$$%%%" * 3 + text(20), lang, "s") for i, lang in enumerate(("fi", None, "en"))]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert len(got) == len(docs) and all(r["distance"] is not None for r in got.values() if not r["base_failed"])
+    assert all(got[i]["kept"] for i in (200, 201, 202)) and not any(got[i]["kept"] or got[i]["base_failed"] for i in (300, 301, 302))
+
+
 def segments_by_force(scores):
     """Maximal-scoring segments by their recursive definition."""
     best = None
