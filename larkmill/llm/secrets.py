@@ -24,7 +24,8 @@ MASK = "[SECRET]"
 _RUN = "[A-Za-z0-9+/_-]{16,}"
 _NAMES = "secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer"
 _LONG = rf"(?=[A-Za-z0-9+/_-]*[0-9]){_RUN}={{0,2}}"
-_AFTER_NAME = rf"(?i)(?:{_NAMES})[\"']?(?:\s*[:=]>?\s*|\s+)[\"']?[A-Za-z0-9+/_.!@#-]*[0-9][A-Za-z0-9+/_.!@#-]*"
+_VALUE = "[A-Za-z0-9+/_.!@#-]"
+_AFTER_NAME = rf"(?i:{_NAMES})[\"']?(?:\s*[:=]>?\s*|\s+)[\"']?(?={_VALUE}{{8}})(?:{_LONG}|{_VALUE}*[0-9]{_VALUE}*)"
 
 # Words around keys, words around what only looks like one, and dictionary words.
 KEY_WORDS = f"(?i)({_NAMES}|key|aws|akia|ghp|login)"
@@ -38,9 +39,10 @@ NAMES = ("length", "case_turns", "kind_turns", "digits", "uppers", "hex", "kinds
 def candidates(text: Column) -> Column:
     """Places of candidates in a text: array of structs (before, value, quoted), in order.
 
-    before: up to 40 characters ahead, in one line.
+    before: up to 40 characters ahead, in one line. Of both kinds the next to come is taken, so that none is passed over as what
+    stands ahead of another.
     """
-    pattern = rf"[^\n]{{0,40}}?(?<![A-Za-z0-9+/_-]){_LONG}|[^\n]{{0,40}}?{_AFTER_NAME}"
+    pattern = rf"[^\n]{{0,40}}?(?:{_AFTER_NAME}|(?<![A-Za-z0-9+/_-]){_LONG})"
     piece = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     value = lambda x: F.regexp_extract(x, r"([A-Za-z0-9+/_.!@#-]+={0,2})$", 1)
     made = F.transform(piece, lambda x: F.struct(x.alias("x"), value(x).alias("value")))

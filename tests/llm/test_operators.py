@@ -280,6 +280,18 @@ def test_secrets_found_and_masked(spark, trees):
     assert masked[1] == 'set token = "[SECRET]" here' and masked[2] == docs[1][1] and masked[5] is None
 
 
+def test_no_candidate_is_passed_over(spark):
+    texts = ["password: hunter22 token=9f8e7d6c5b4a39281706", "token sha256: 9f8e7d6c5b4a39281706", "token=9f8e7d6c5b4a39281706== pwd = abcdefg1.", "auth k1 and secret 12345678"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [[(c["before"], c["value"]) for c in r[0]] for r in df.select(secrets.candidates(F.col("text"))).collect()]
+    assert got == [
+        [("password: ", "hunter22"), (" token=", "9f8e7d6c5b4a39281706")],
+        [("token sha256: ", "9f8e7d6c5b4a39281706")],
+        [("token=", "9f8e7d6c5b4a39281706=="), (" pwd = ", "abcdefg1.")],
+        [("auth k1 and secret ", "12345678")],
+    ]
+
+
 def test_licenses(spark):
     docs = [(1, "x y\nReleased under the MIT License.\nz"), (2, "intro\n\n" + licenses.TEMPLATES["ISC"].replace("fee", "charge") + "\n\nend"), (3, "nothing of the kind"), (4, "this work is licensed under the gnu general public license version 2")]
     got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
