@@ -17,7 +17,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -203,7 +203,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, ids: bool =
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids + ["decoded"] * decoded
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Words of the shingle operators, after lower-casing: ASCII letters and digits, and everything beyond ASCII.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Most bytes of an Arrow batch that is sent to a Python worker (or one row).
+BATCH_BYTES = 4 << 20
+# Fixed value: Spark's own bound.
+ARROW_DEFAULT = "67108864b"
+
 SHINGLE = 5
 SIMILARITY = 0.8
 
@@ -23,15 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a local folder does if the master
+    is local too; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors see")
         at = "file:///tmp/larkmill-checkpoints"
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches held to BATCH_BYTES unless the session has a bound of its own: long texts then reach a
+    worker by the dozen, not by the ten thousand."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, ARROW_DEFAULT) == ARROW_DEFAULT:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -74,7 +91,7 @@ def rows(arr):
     offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
     at = 0
     while at < len(arr):
-        to = int(np.searchsorted(offsets, offsets[at] + 4_000_000, "right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + 5_000_000, "right")) - 1
         to = min(max(to, at + 1), len(arr), at + 4096)
         yield at, to, arr.slice(at, to - at)
         at = to

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, rows, staged, table
+from .common import SHINGLE, SIMILARITY, lean, rows, staged, table
 from .graph import components
 from .kernel import mix, windows, word_hashes
 
@@ -225,7 +225,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     Texts of equal plain words are copies. Texts without a word (null, empty, signs only) and rows of null id are alone.
     Repeated rows of an id give a row each. Ids should name one text; else its texts count as one. Other columns are not read.
     """
-    docs = documents.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    docs = lean(documents).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = staged(docs.where("id is not null").mapInArrow(_sign, "id bigint, copy string, keys array<bigint>, sig binary"), "signed")
     first = signed.groupBy("copy").agg(F.min("id").alias("rep"))
     members = staged(signed.select("id", "copy").join(first, "copy").select("id", "rep"), "members")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows, staged, table
+from .common import lean, rows, staged, table
 from .kernel import mix, windows, word_hashes
 
 WINDOW = 13
@@ -265,7 +265,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, kept_text: bool =
     Rows of equal id never remove each other's words; each gets its own result. Other columns are not read. Hashes of
     windows have 64 bits within 2^6 or more buckets.
     """
-    docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     buckets = max(32, 2 * docs.rdd.getNumPartitions())
     known = docs.where("doc_id is not null and text is not null")
     hits = _exchanged(known.mapInArrow(_probe(window, buckets), _SENT), True)

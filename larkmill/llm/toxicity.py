@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, rows, staged, table
 
 #: Most labelled rows of either class that are learned from (smallest hashes first).
 LEARN_ROWS = 20_000
@@ -33,6 +33,10 @@ Z, LEAST_ODDS = 2.5, 1.5
 PRIOR, LEAST_PRIOR = 50.0, 0.5
 #: Score of a token without a feature.
 PENALTY = -0.25
+#: Largest evidence, a chance of e^-60: less likely counts and scores are certain alike.
+SATURATION = 60.0
+#: Words that a worker remembers the weight of, and their greatest length: some 8 MB at most.
+REMEMBERED, REMEMBERED_LENGTH = 50_000, 32
 
 WORD = re.compile(r"[^\W_]+")
 STEMS = (7, 5, 4, 3)
@@ -49,23 +53,25 @@ def segments(scored: list[tuple[int, float]], penalty: float = PENALTY) -> list[
     scored: places and scores of the tokens with positive scores, in order; all others have the penalty. Each positive token
     opens a segment; it joins an earlier one where the whole scores more than either.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, total before, total up to the end
+    # a candidate: first, last, total before, total up to the end, and the nearest candidate before it of a smaller total
+    # before (-1: none). Links lead past all candidates between, and a joined candidate inherits the link of its first part,
+    # so that no link is followed twice and the pass is linear.
+    found: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for place, score in scored:
         total += penalty * (place - last - 1)
-        cur = (place, place, total, total + score)
+        first, low = place, total
         total += score
         last = place
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= cur[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= cur[3]:
-                found.append(cur)
-                break
-            cur = (found[k][0], cur[1], found[k][2], cur[3])
+        k = len(found) - 1
+        while k >= 0 and found[k][2] >= low:
+            k = found[k][4]
+        while k >= 0 and found[k][3] < total:
+            first, _, low, _, before = found[k]
             del found[k:]
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+            k = before
+        found.append((first, place, low, total, k))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 @dataclass
@@ -87,9 +93,10 @@ class Model:
         w = self.seen.get(word)
         if w is None:
             w = next((self.weights[f] for f in features(word) if f in self.weights), 0.0)
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[word] = w
+            if len(word) <= REMEMBERED_LENGTH:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[word] = w
         return w
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
@@ -101,14 +108,14 @@ class Model:
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """Largest -ln p over r of the r best segments: a clean text of n tokens has Poisson many segments of a score of at least
-        s, K n exp(-scale s) on average; p is the chance of r or more."""
+        s, K n exp(-scale s) on average; p is the chance of r or more. No more than SATURATION."""
         best = 0.0
         for r, s in enumerate(sorted((x[2] for x in found), reverse=True), 1):
             ln_e = self.ln_k + math.log(max(n, 1)) - self.scale * s
             if ln_e < math.log(r):  # fewer expected than seen; the tail's terms fall at least like a geometric row from the first
                 e = math.exp(ln_e)
                 best = max(best, e + math.lgamma(r + 1) - r * ln_e + math.log1p(-e / (r + 1)))
-        return min(best, 60.0)
+        return min(best, SATURATION)
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.offset))))
@@ -119,25 +126,54 @@ def _counts(batches):
     import pyarrow as pa
 
     for batch in batches:
-        both = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            both[0 if toxic else 1].update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
-        names = list(both[0].keys() | both[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in both)], ["feature", "toxic", "clean"])
+        for at, to, texts in rows(batch.column(0)):
+            both = (Counter(), Counter())
+            for text, toxic in zip(texts.to_pylist(), batch.column(1).slice(at, to - at).to_pylist(), strict=True):
+                both[0 if toxic else 1].update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
+            names = list(both[0].keys() | both[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in both)], ["feature", "toxic", "clean"])
 
 
 def _spread(wanted: set[str]):
-    """text to (feature, documents), of the wanted features."""
+    """text to (feature, documents), of the wanted features: a row for each and task."""
     heads = {f[:3] for f in wanted}
 
     def run(batches):
         import pyarrow as pa
 
+        held: Counter = Counter()
         for batch in batches:
-            held: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                held.update({f for w in set(WORD.findall((text or "").lower())) if w[:3] in heads for f in features(w) if f in wanted})
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["feature", "documents"])
+            for _, _, texts in rows(batch.column(0)):
+                for text in texts.to_pylist():
+                    held.update({f for w in set(WORD.findall((text or "").lower())) if w[:3] in heads for f in features(w) if f in wanted})
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["feature", "documents"])
+
+    return run
+
+
+def _scores(model: Model):
+    """(text, toxic) to (n, toxic, scores of segments)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, to, texts in rows(batch.column(0)):
+                seen = [model.scan(t) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in seen], pa.int64()), batch.column(1).slice(at, to - at), pa.array([[x[2] for x in found] for _, found in seen], pa.list_(pa.float64()))], ["n", "toxic", "scores"])
+
+    return run
+
+
+def _evidences(model: Model):
+    """(n, toxic, scores) to (toxic, evidence)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [model.evidence(n, [(0, 0, s) for s in scores]) for n, scores in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.float64())], ["toxic", "evidence"])
 
     return run
 
@@ -166,19 +202,20 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
 
     At most LEARN_ROWS rows of either class are used; the prior's frequencies cover all documents. In the logistic curve a row
     counts for all labelled rows of its class that it stands for, so that a score means the same at every size. A document
-    with several labels is toxic if one of them is. Without toxic or clean rows every score is the same.
+    with several labels is toxic if one of them is; of several texts of one id the smallest is learned from. Without toxic or
+    clean rows every score is the same.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit("learn"))
     stands_for = {r["toxic"]: max(1.0, r["n"] / LEARN_ROWS) for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = known.where("toxic = 1").orderBy(order, "doc_id").limit(LEARN_ROWS).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(LEARN_ROWS))
-    sample = docs.join(F.broadcast(rows), "doc_id").select("text", "toxic").persist()
+    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(LEARN_ROWS).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(LEARN_ROWS))
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
+    sample = staged(sample.select("text", "toxic"), "labelled")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        sample.unpersist()
         return Model({}, offset=-3.0 if n0 or not n1 else 3.0)
     counted = sample.mapInArrow(_counts, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     likely = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).where(F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0) > LEAST_ODDS / 2)
@@ -195,29 +232,16 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
         if odds >= LEAST_ODDS and odds / math.sqrt(1 / (t + a) + 1 / (c + a)) >= Z:
             weights[f] = odds
     model = Model(weights)
-
-    def scan(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size, found = model.scan(t)
-                out.append((size, toxic, [x[2] for x in found]))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.float64()))], ["n", "toxic", "scores"])
-
-    seen = sample.mapInArrow(scan, "n bigint, toxic int, scores array<double>").toPandas()
-    sample.unpersist()
+    scored = staged(sample.mapInArrow(_scores(model), "n bigint, toxic int, scores array<double>"), "segments")
     # scores of segments of clean texts above the least weight fall off exponentially: rate and scale by maximum likelihood
     floor = min(weights.values(), default=1.0)
-    clean = [x for r in seen.itertuples() if not r.toxic for x in r.scores if x >= floor]
-    tokens = sum(int(r.n) for r in seen.itertuples() if not r.toxic)
-    model.scale = (len(clean) + 1) / (sum(x - floor for x in clean) + 1.0)
-    model.ln_k = math.log((len(clean) + 0.5) / max(tokens, 1)) + model.scale * floor
-    xs = [model.evidence(int(r.n), [(0, 0, s) for s in r.scores]) for r in seen.itertuples()]
-    ys = [int(t) for t in seen["toxic"]]
-    model.slope, model.offset = _fit_curve(xs, ys, [stands_for[y] for y in ys])
+    clean = scored.where("toxic = 0")
+    tokens = clean.agg(F.sum("n")).first()[0] or 0
+    over, excess = clean.select(F.explode("scores").alias("s")).where(F.col("s") >= floor).agg(F.count("*"), F.coalesce(F.sum(F.col("s") - floor), F.lit(0.0))).first()
+    model.scale = (over + 1) / (excess + 1.0)
+    model.ln_k = math.log((over + 0.5) / max(tokens, 1)) + model.scale * floor
+    seen = scored.mapInArrow(_evidences(model), "toxic int, evidence double").collect()  # two numbers for each of 2 LEARN_ROWS rows at most
+    model.slope, model.offset = _fit_curve([r["evidence"] for r in seen], [r["toxic"] for r in seen], [stands_for[r["toxic"]] for r in seen])
     return model
 
 
@@ -233,21 +257,26 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text", key:
         import pyarrow as pa
 
         m = shared.value
+        kinds = (pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))
         for batch in batches:
-            out = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, found = m.scan(t)
-                s = m.score(m.evidence(n, found))
-                out.append((k, s, int(s >= 0.5), [dict(first=a, last=b, score=x) for a, b, x in found]))
-            cols = list(zip(*out, strict=True))
-            kinds = (pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "score", "predicted", "passages"])
+            for at, to, texts in rows(batch.column(1)):
+                out = []
+                for t in texts.to_pylist():
+                    n, found = m.scan(t)
+                    s = m.score(m.evidence(n, found))
+                    out.append((s, int(s >= 0.5), [dict(first=a, last=b, score=x) for a, b, x in found]))
+                cols = [batch.column(0).slice(at, to - at), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "passages"])
 
-    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def drop_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """documents, all columns, without rows whose score reaches 0.5."""
+    """documents, all columns, without rows whose score reaches 0.5.
+
+    Each row is judged by its own text, whatever its id; repeated rows go or stay together. Null and empty texts have the score
+    of no evidence, which stays unless the labels name no clean row. Names of other columns do not matter.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text)
 
@@ -256,9 +285,10 @@ def drop_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFr
 
         m = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([m.score(m.evidence(*m.scan(t))) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            for lo, hi, texts in rows(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array([m.score(m.evidence(*m.scan(t))) < 0.5 for t in texts.to_pylist()], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return lean(documents).mapInArrow(run, documents.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

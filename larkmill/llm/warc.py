@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, lean, table
 
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -175,7 +175,7 @@ def write_bundles(typed: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
             sink.close()
 
     spark = typed.sparkSession
-    typed.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    lean(typed).mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
