@@ -6,13 +6,16 @@ token of the rest is the last token of this prefix. Following back-pointers from
 tokens are compatible if no merge crosses their border before either of them is complete.
 
 Whole texts are encoded: white space never lies inside a token of this vocabulary, so chunks between white space are encoded
-one by one and remembered, in a table of bounded size that starts anew when full.
+one by one and remembered. A table has two generations of bounded size: what is used again moves to the young one, and when that
+is full the old one goes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +24,8 @@ from .common import lean, table
 
 VOCABULARY = "word_bpe_49k.json"
 
-#: Chunks (and pre-tokens) that a worker remembers at most.
-REMEMBERED = 300_000
+#: Entries and key length of one generation of a worker's tables: under 100 MB a worker in all, whatever the texts.
+REMEMBERED, REMEMBERED_LENGTH = 150_000, 32
 
 END = "</w>"
 
@@ -38,6 +41,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
+class Remembered:
+    """A table that forgets what was not used for a generation."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary with word ends."""
 
@@ -65,9 +86,8 @@ class Bpe:
         self.white = regex.compile(WHITE)
         self.pretoken = regex.compile(PRETOKEN)
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.known, self.chunks = Remembered(REMEMBERED // 3), Remembered()
+        self.fits: dict[int, bool] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that touch one border of a token while it is put together, each with the rank of the merge that ends it."""
@@ -81,51 +101,49 @@ class Bpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart when both are put together side by side."""
-        key = (a, b)
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            # at equal ranks the left place merges first: it spares the border if it lies left of it
-            known = self.fits[key] = not any((r := self.rank.get((x, y))) is not None and r < x_ends and r <= y_ends for x, x_ends in self.spine(a, 1) for y, y_ends in self.spine(b, 0))
-        return known
+        if len(self.fits) >= 2 * REMEMBERED:
+            self.fits.clear()
+        # at equal ranks the left place merges first: it spares the border if it lies left of it
+        fit = self.fits[a << 32 | b] = not any((r := self.rank.get((x, y))) is not None and r < x_ends and r <= y_ends for x, x_ends in self.spine(a, 1) for y, y_ends in self.spine(b, 0))
+        return fit
 
     def encode_pretoken(self, text: str) -> list[int]:
         """Ids of one pre-token: per-prefix last tokens, then the way back."""
-        found = self.known.get(text)
-        if found is not None:
-            return found
-        word = "".join([self.letters[b] for b in text.encode()]) + "\n"
-        last: list[tuple[int, int] | None] = [None] * len(word)
+        letters, fits = self.letters, self.fits
+        word = "".join([letters[b] for b in text.encode()]) + "\n"
+        last, sizes = [-1] * len(word), [0] * len(word)
         for end, (token, size) in self.automaton.iter(word):
-            if last[end] is None:
-                start = end - size
-                if start < 0 or last[start] is not None and self.compatible(last[start][0], token):
-                    last[end] = (token, size)
+            if last[end] < 0:
+                before = last[end - size] if size <= end else -1
+                if size > end or before >= 0 and (self.compatible(before, token) if (fit := fits.get(before << 32 | token)) is None else fit):
+                    last[end], sizes[end] = token, size
         ids, at = [], len(word) - 1
         while at >= 0:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
+            ids.append(last[at])
+            at -= sizes[at]
         ids.reverse()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[text] = ids
         return ids
 
     def chunk(self, text: str) -> tuple[bytes, str]:
         """Ids (little-endian, 32 bits each) and decoded text of a chunk without white space."""
-        import unicodedata
-        from array import array
-
         found = self.chunks.get(text)
         if found is None:
-            lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            ids = [i for x in self.pretoken.findall(lowered) for i in self.encode_pretoken(x)]
-            raw = array("I", ids)
-            found = (raw.tobytes(), self.decode(ids))
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            self.chunks[text] = found
+            lowered = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            parts = self.pretoken.findall(lowered)
+            if len(parts) == 1:
+                ids = self.encode_pretoken(parts[0])
+            else:
+                ids = []
+                for part in parts:
+                    some = self.known.get(part)
+                    if some is None:
+                        some = self.encode_pretoken(part)
+                        if len(part) <= REMEMBERED_LENGTH:
+                            self.known.put(part, some)
+                    ids += some
+            found = (array("I", ids).tobytes(), self.decode(ids))
+            if len(text) <= REMEMBERED_LENGTH:
+                self.chunks.put(text, found)
         return found
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
@@ -138,13 +156,11 @@ class Bpe:
                 else:
                     found += [self.chunk(y) for y in self.white.split(x) if y]
             return found
-        known, chunk = self.chunks, self.chunk
-        return [known.get(x) or chunk(x) for x in self.white.split(text) if x]
+        chunks, chunk = self.chunks, self.chunk
+        return [chunks.young.get(x) or chunk(x) for x in self.white.split(text) if x]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text."""
-        from array import array
-
         return list(array("I", b"".join([x[0] for x in self.pieces(text)])))
 
     def decode(self, ids: list[int]) -> str:
