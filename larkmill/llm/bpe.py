@@ -20,7 +20,7 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import KEPT, lean, light, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -168,16 +168,12 @@ class Bpe:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def loaded(content: bytes) -> Bpe:
     """The encoder of a vocabulary file, built once per worker."""
     key = hashlib.sha256(content).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Bpe(json.loads(content))
-    return _loaded[key]
+    if KEPT.get("bpe", ("", None))[0] != key:
+        KEPT["bpe"] = (key, Bpe(json.loads(content)))
+    return KEPT["bpe"][1]
 
 
 def read_vocabulary(path: str | None = None) -> bytes:
@@ -219,7 +215,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, ids: bool =
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids + ["decoded"] * decoded
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(light(run, "bpe"), schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,38 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What operators keep in a worker between tasks, by operator.
+KEPT: dict = {}
+
+
+def lighten(name: str = "") -> None:
+    """Lets go what operators of other names keep in this worker, and gives freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if any(k != name for k in KEPT):
+        for k in [k for k in KEPT if k != name]:
+            del KEPT[k]
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
+def light(run, name: str = ""):
+    """run, a function of an iterator of batches, with lighten before and after."""
+
+    def lightened(batches):
+        lighten(name)
+        yield from run(batches)
+        lighten(name)
+
+    return lightened
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -62,6 +94,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or with underscores where df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column computed once per row.
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, rows, staged, table
+from .common import lean, light, rows, staged, table
 
 #: Most labelled rows of either class that are learned from (smallest hashes first).
 LEARN_ROWS = 20_000
@@ -217,11 +217,11 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model({}, offset=-3.0 if n0 or not n1 else 3.0)
-    counted = sample.mapInArrow(_counts, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.mapInArrow(light(_counts), "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     likely = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).where(F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0) > LEAST_ODDS / 2)
     held = {r["feature"]: (r["toxic"], r["clean"]) for r in likely.orderBy(F.desc(F.col("toxic") / n1 - F.col("clean") / n0), "feature").limit(FEATURES).collect()}
     shared = spark.sparkContext.broadcast(set(held))
-    spread = docs.select("text").mapInArrow(lambda x: _spread(shared.value)(x), "feature string, documents bigint").groupBy("feature").agg(F.sum("documents").alias("documents"))
+    spread = docs.select("text").mapInArrow(light(lambda x: _spread(shared.value)(x)), "feature string, documents bigint").groupBy("feature").agg(F.sum("documents").alias("documents"))
     total = docs.count()
     prior = {r["feature"]: r["documents"] for r in spread.collect()}
     weights = {}
@@ -232,7 +232,7 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
         if odds >= LEAST_ODDS and odds / math.sqrt(1 / (t + a) + 1 / (c + a)) >= Z:
             weights[f] = odds
     model = Model(weights)
-    scored = staged(sample.mapInArrow(_scores(model), "n bigint, toxic int, scores array<double>"), "segments")
+    scored = staged(sample.mapInArrow(light(_scores(model)), "n bigint, toxic int, scores array<double>"), "segments")
     # scores of segments of clean texts above the least weight fall off exponentially: rate and scale by maximum likelihood
     floor = min(weights.values(), default=1.0)
     clean = scored.where("toxic = 0")
@@ -268,7 +268,7 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text", key:
                 cols = [batch.column(0).slice(at, to - at), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "passages"])
 
-    return lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(light(run), schema)
 
 
 def drop_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -288,7 +288,7 @@ def drop_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFr
             for lo, hi, texts in rows(batch.column(at)):
                 yield batch.slice(lo, hi - lo).filter(pa.array([m.score(m.evidence(*m.scan(t))) < 0.5 for t in texts.to_pylist()], pa.bool_()))
 
-    return lean(documents).mapInArrow(run, documents.schema)
+    return lean(documents).mapInArrow(light(run), documents.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
