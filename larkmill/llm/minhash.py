@@ -7,8 +7,9 @@ stops at (ln k + margin) / weight, and doubles only for documents with an empty
 coordinates that estimates the weighted Jaccard similarity. Bands of them bring candidates together.
 
 Links of 0.8 or more are verified by exact weighted Jaccard similarity, and groups are the connected components. In a
-bucket each member is compared to two hubs (star edges, linear in its size). Buckets of four or more that then still hold
-several components are compared block by block over signatures, so that no link depends on the choice of hubs.
+bucket each member is compared to two hubs (star edges, linear in its size); a hub's pairs are dealt out over tasks. Buckets of
+four or more that then still hold several components are compared block by block over signatures, so that no link depends on
+the choice of hubs; blocks are bounded in members and bytes, and each task meets a few blocks with the others.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, lean, rows, staged, table
+from .common import SHINGLE, SIMILARITY, lean, light, rows, staged, table
 from .graph import components
 from .kernel import mix, windows, word_hashes
 
@@ -28,8 +29,10 @@ DEPTH = 5
 COORDINATES = BANDS * DEPTH
 #: Expected empty coordinates before time is doubled: exp(-MARGIN).
 MARGIN = 4.0
-#: Members of a block in the comparison of unsettled buckets.
-BLOCK = 128
+#: Members and bytes of text of a block in the comparison of unsettled buckets, about, and blocks that a task meets with all others.
+BLOCK, BLOCK_BYTES, BLOCKS = 128, 1 << 20, 8
+#: Pairs of one hub that a task verifies; the hub's text is sent to as many tasks as that takes.
+SPLIT = 500
 #: Signature agreement from which a pair of an unsettled bucket is verified: 0.8 less four standard errors.
 AGREE = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 
@@ -101,8 +104,9 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
-    """(id, text) to (id, words, keys, sig); words: hash of the shingle multiset's word sequence for exact copies."""
+    """(id, text) to (id, copy, keys, sig, bytes); copy: hash of the word sequence, for exact copies; bytes of the text."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
         for at, to, texts in rows(batch.column(1)):
@@ -123,7 +127,7 @@ def _sign(batches):
             lists = lambda m, kind, w: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(m.reshape(-1), kind))
             short = np.ascontiguousarray((sig & _U(0xFFFF)).astype("<u2"))
             sigs = pa.array([r.tobytes() for r in short], pa.binary())
-            out = pa.RecordBatch.from_arrays([ids, text_key, lists(keys, pa.int64(), BANDS), sigs], ["id", "copy", "keys", "sig"])
+            out = pa.RecordBatch.from_arrays([ids, text_key, lists(keys, pa.int64(), BANDS), sigs, pc.binary_length(texts).cast(pa.int64())], ["id", "copy", "keys", "sig", "bytes"])
             yield out.filter(pa.array(some))
 
 
@@ -141,8 +145,19 @@ def similarity(texts_a, texts_b) -> np.ndarray:
     return both / np.maximum(total - both, 1)
 
 
+def _at_hub(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """pairs (hub, id, n) with the hub's column of values (id, column), null where it has none.
+
+    The pairs of a hub are dealt out over n / SPLIT parts, n being the size of their largest bucket; its value goes to each.
+    """
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    wide = pairs.groupBy("hub").agg(F.max("n").alias("n")).join(values.select(F.col("id").alias("hub"), column), "hub", "left")
+    spread = wide.select("hub", column, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return pairs.withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(spread, ["hub", "part"]).drop("part")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose texts reach SIMILARITY. The texts of hubs are sent once per pair, never gathered."""
+    """Of pairs (hub, id, n), as (a, b) with a < b, those whose texts reach SIMILARITY."""
 
     def run(batches):
         import pyarrow as pa
@@ -150,10 +165,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                yield part.select(["a", "b"]).filter(pa.array(similarity(part.column(2), part.column(3)) >= SIMILARITY - 1e-12))
+                yield part.select(["hub", "id"]).filter(pa.array(similarity(part.column(2), part.column(3)) >= SIMILARITY - 1e-12))
 
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    joined = _at_hub(pairs.join(texts, "id"), texts.withColumnRenamed("text", "hub_text"), "hub_text")
+    return joined.select("hub", "id", "text", "hub_text").mapInArrow(light(run), "hub bigint, id bigint").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
 
 
 def _overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -174,7 +189,8 @@ def _blocks(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for key, same, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for row in range(batch.num_rows):
+            key, same, left, right = (batch.column(k)[row].as_py() for k in range(4))
             members = left if same else left + right
             split = 0 if same else len(left)
             ids = [x["id"] for x in members]
@@ -213,11 +229,6 @@ def _blocks(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
 
-def _labelled(ids: DataFrame, groups: DataFrame, column: str) -> DataFrame:
-    """ids with the component of one column, itself where it is in none."""
-    return ids.join(groups.select(F.col("id").alias(column), F.col("component").alias(f"{column}_group")), column, "left").withColumn(f"{column}_group", F.coalesce(f"{column}_group", column))
-
-
 def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, links) for every row: class_id is the smallest id of the document's group, links the number of
     verified pairs between different texts that built the group, at the document's text.
@@ -226,7 +237,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     Repeated rows of an id give a row each. Ids should name one text; else its texts count as one. Other columns are not read.
     """
     docs = lean(documents).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    signed = staged(docs.where("id is not null").mapInArrow(_sign, "id bigint, copy string, keys array<bigint>, sig binary"), "signed")
+    signed = staged(docs.where("id is not null").mapInArrow(light(_sign), "id bigint, copy string, keys array<bigint>, sig binary, bytes bigint"), "signed")
     first = signed.groupBy("copy").agg(F.min("id").alias("rep"))
     members = staged(signed.select("id", "copy").join(first, "copy").select("id", "rep"), "members")
     alone = signed.join(first.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
@@ -234,28 +245,30 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     order = F.struct(F.xxhash64("id", "key"), "id")
     buckets = staged(banded.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["id"].alias("hub"), F.max(order)["id"].alias("hub2")).where("n > 1"), "buckets")
     inside = staged(banded.join(buckets, "key"), "inside")
-    star = inside.select(F.explode(F.array(F.struct("hub", "id"), F.struct(F.col("hub2").alias("hub"), "id"))).alias("x")).select(F.least("x.hub", "x.id").alias("a"), F.greatest("x.hub", "x.id").alias("b")).where("a <> b")
-    pairs = staged(star.groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    stars = F.filter(F.array(F.struct("hub", "id", "n"), F.struct(F.when(F.col("id") != F.col("hub"), F.col("hub2")).alias("hub"), "id", "n")), lambda x: x["hub"] != x["id"])
+    pairs = staged(inside.select(F.explode(stars).alias("x")).groupBy("x.hub", "x.id").agg(F.count("*").alias("shared"), F.max("x.n").alias("n")), "pairs")
     # texts of documents that stand in any bucket
     texts = staged(docs.join(inside.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
     # first one pair for each document, its strongest; then only what still joins different groups
-    best = pairs.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"), "a"))["a"].alias("a")).select("a", "b")
+    best = staged(pairs.groupBy("id").agg(F.max(F.struct("shared", -F.col("hub"), "hub", "n")).alias("x")).select("x.hub", "id", "x.n"), "best")
     links = staged(_verified(best, texts), "links")
     groups = staged(components(links), "groups")
-    rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
-    rest = _labelled(_labelled(rest, groups, "a"), groups, "b").where("a_group <> b_group").select("a", "b")
+    rest = pairs.join(best.select("hub", "id"), ["hub", "id"], "left_anti").join(groups, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("own"))
+    rest = _at_hub(rest, groups, "component").where(F.coalesce("component", "hub") != F.col("own")).select("hub", "id", "n")
     links = links.union(staged(_verified(rest, texts), "links"))
     groups = staged(components(links), "groups")
     # buckets of four or more that still hold several groups: compare blocks of members over signatures
-    labelled = _labelled(inside.where("n > 3").select("key", "n", "id"), groups, "id")
-    mixed = labelled.groupBy("key").agg(F.min("id_group").alias("g1"), F.max("id_group").alias("g2")).where("g1 <> g2").select("key")
-    held = labelled.join(mixed, "key").join(alone.select("id", "sig", "keys"), "id").join(texts, "id")
-    member = F.struct("id", F.col("id_group").alias("component"), "sig", "keys", "text")
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = held.groupBy("key", F.pmod(F.xxhash64("id"), count).cast("int").alias("block")).agg(F.collect_list(member).alias("members"))
+    labelled = inside.where("n > 3").select("key", "n", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("g1"), F.max("component").alias("g2")).where("g1 <> g2").select("key")
+    held = staged(labelled.join(mixed, "key").join(alone.select("id", "sig", "keys", "bytes"), "id"), "mixed")
+    sizes = held.groupBy("key").agg(F.ceil(F.greatest(F.max("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    member = F.struct("id", "component", "sig", "keys", "text")
+    blocks = held.join(sizes, "key").join(texts, "id").groupBy("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(member).alias("members"))
     blocks = staged(blocks, "blocks")
-    left, right = blocks.select("key", F.col("block").alias("i"), F.col("members").alias("l")), blocks.select("key", F.col("block").alias("j"), F.col("members").alias("r"))
-    more = left.join(right, "key").where("i <= j").select("key", (F.col("i") == F.col("j")).alias("same"), "l", "r").mapInArrow(_blocks, "a bigint, b bigint")
+    parts = F.ceil(F.col("blocks") / BLOCKS).cast("int")
+    left = blocks.select("key", F.col("block").alias("i"), F.pmod("block", parts).alias("part"), F.col("members").alias("l"))
+    right = blocks.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("members").alias("r"))
+    more = left.join(right, ["key", "part"]).where("i <= j").select("key", (F.col("i") == F.col("j")).alias("same"), "l", "r").mapInArrow(light(_blocks), "a bigint, b bigint")
     links = staged(links.union(more).distinct(), "links")
     groups = staged(components(links), "groups")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
