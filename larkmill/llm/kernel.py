@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(texts: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, plain: bool, seed: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a large_string array, in order, and each row's offset into them (one more than rows).
 
     plain: lower-cased words of ASCII letters, digits and non-ASCII characters; else runs without ASCII white space.
@@ -51,7 +51,7 @@ def word_hashes(texts: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     size = ends - starts
     eight = np.ndarray((max(0, hi - lo + 1),), np.dtype("<u8"), raw, strides=(1,)) if hi > lo else np.zeros(1, _U)
-    h = mix(size.astype(_U) + _U(0x9E3779B97F4A7C15))
+    h = mix(size.astype(_U) + _U(seed))
     at, live = 0, np.arange(len(starts))
     while len(live):
         left = size[live] - at

@@ -19,13 +19,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, rows, staged, table
+from .common import lean, light, rows, staged, table
 from .kernel import mix, windows, word_hashes
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 
 _U = np.uint64
+#: Start of the second hash of words and windows: the deciding comparison uses 128 bits.
+SECOND = 0x5851F42D4C957F2D
 _SENT = "bucket int, chunk bigint, head binary, body binary"
 _HITS = "doc_id bigint, chunk bigint, ord int, bucket int, bits binary"
 
@@ -43,11 +45,11 @@ def _ordinals(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send(ids: np.ndarray, texts_hash: np.ndarray, keys: np.ndarray, first: np.ndarray, wanted: np.ndarray, block: np.ndarray | None, buckets: int):
+def _send(ids: np.ndarray, texts_hash: np.ndarray, keys: np.ndarray, first: np.ndarray, wanted: np.ndarray, block: np.ndarray | None, buckets: int, second: np.ndarray | None = None):
     """Rows of _SENT for one chunk: entries by bucket, and for each row with windows its masks (of bucket -1 in ord order).
 
     keys: window hashes; first: each row's offset into them; wanted: windows to compare; block: marks of aligned blocks for the
-    probing comparison, None for the comparison by smallest document.
+    probing comparison, None for the comparison by smallest document, which also has second hashes of the windows.
     """
     import pyarrow as pa
 
@@ -55,12 +57,14 @@ def _send(ids: np.ndarray, texts_hash: np.ndarray, keys: np.ndarray, first: np.n
     row = np.repeat(np.arange(n), np.diff(first))
     ords = _ordinals(ids)
     at = np.flatnonzero(wanted)
-    order = at[np.argsort(keys[at])]
+    order = at[np.argsort(keys[at]) if second is None else np.lexsort((second[at], keys[at]))]
     new = np.concatenate(([True], keys[order][1:] != keys[order][:-1])) if len(order) else np.zeros(0, bool)
+    if second is not None and len(order):
+        new[1:] |= second[order][1:] != second[order][:-1]
     alone = new & np.append(new[1:], True) if len(order) else new
     if not alone.all():  # within equal windows: by id, then place
         many = order[~alone]
-        order[~alone] = many[np.lexsort((many, ids[row[many]], keys[many]))]
+        order[~alone] = many[np.lexsort((many, ids[row[many]], keys[many]) if second is None else (many, ids[row[many]], second[many], keys[many]))]
     start = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     least = ids[row[order[start]]]
@@ -86,7 +90,7 @@ def _send(ids: np.ndarray, texts_hash: np.ndarray, keys: np.ndarray, first: np.n
             continue
         who, count = np.unique(row[mine], return_counts=True)
         head = np.concatenate((np.diff(ids[who], prepend=0), ords[who], count))
-        body = keys[mine] if block is None else ((keys[mine].astype(np.uint32) & np.uint32(0xFFFFFFFE)) | flag[mine]).astype("<u4")
+        body = np.stack((keys[mine], second[mine]), 1) if block is None else ((keys[mine].astype(np.uint32) & np.uint32(0xFFFFFFFE)) | flag[mine]).astype("<u4")
         out.append((b, chunk, zlib.compress(head.astype("<i8").tobytes(), 1), body.tobytes()))
     for r in range(n):
         lo, hi = first[r], first[r + 1]
@@ -114,6 +118,7 @@ def _answer(probing: bool):
             head = [np.frombuffer(zlib.decompress(heads[k]), "<i8").reshape(3, -1) for k in entries]
             ids = [np.cumsum(h[0]) for h in head]
             keys = np.concatenate([np.frombuffer(bodies[k], "<u4" if probing else "<u8") for k in entries])
+            keys, second = (keys, None) if probing else (keys[::2], keys[1::2])
             if probing:
                 order = np.argsort(keys, kind="stable")
                 bare = keys[order] >> np.uint32(1)
@@ -124,8 +129,8 @@ def _answer(probing: bool):
                 hit[order] = np.repeat(good, size)
             else:
                 whose = np.concatenate([np.repeat(i, h[2]) for i, h in zip(ids, head, strict=True)])
-                order = np.lexsort((whose, keys))
-                start = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+                order = np.lexsort((whose, second, keys))
+                start = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (second[order][1:] != second[order][:-1]))))
                 size = np.diff(np.concatenate((start, [len(keys)])))
                 hit = np.zeros(len(keys), bool)
                 hit[order] = whose[order] > np.repeat(whose[order][start], size)
@@ -206,6 +211,7 @@ def _extend(window: int, buckets: int, finer: int):
                 h, first = word_hashes(texts, plain=False)
                 ids = batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False)
                 seen = _text_hashes(h, first)
+                second, _ = windows(word_hashes(texts, plain=False, seed=SECOND)[0], first, window, whole=False)
                 small, s_first = windows(h, first, size, whole=False)
                 keys, win = windows(h, first, window, whole=False)
                 wanted = np.zeros(len(keys), bool)
@@ -215,7 +221,7 @@ def _extend(window: int, buckets: int, finer: int):
                         hit = _marks(found.as_py(), int(seen[r]), small[s_first[r] : s_first[r + 1]], buckets)
                         total = np.concatenate(([0], np.cumsum(hit)))
                         wanted[lo:hi] = total[window - size + 1 :][: hi - lo] > total[: hi - lo]
-                yield _send(ids, seen, keys, win, wanted, None, finer)
+                yield _send(ids, seen, keys, win, wanted, None, finer, second)
 
     return run
 
@@ -262,17 +268,17 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, kept_text: bool =
     """(doc_id, n_words, n_removed, kept_sha256 and, where asked for, kept) for every row.
 
     Null and empty texts have no words. Texts shorter than a window keep all. Rows of a null id are not compared and keep all.
-    Rows of equal id never remove each other's words; each gets its own result. Other columns are not read. Hashes of
-    windows have 64 bits within 2^6 or more buckets.
+    Rows of equal id never remove each other's words; each gets its own result. Other columns are not read. Windows are equal if
+    two independent 64-bit hashes of their words are; two of 10^12 different windows agree with a chance of 1e-15.
     """
     docs = lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    buckets = max(32, 2 * docs.rdd.getNumPartitions())
+    buckets = max(64, 4 * docs.rdd.getNumPartitions())
     known = docs.where("doc_id is not null and text is not null")
-    hits = _exchanged(known.mapInArrow(_probe(window, buckets), _SENT), True)
+    hits = _exchanged(known.mapInArrow(light(_probe(window, buckets)), _SENT), True)
     near = known.join(hits, "doc_id").select("doc_id", "text", "hits")
-    hits = staged(_exchanged(near.mapInArrow(_extend(window, buckets, buckets), _SENT), False), "repeats")
+    hits = staged(_exchanged(near.mapInArrow(light(_extend(window, buckets, buckets)), _SENT), False), "repeats")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * kept_text
-    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_cut(window, buckets, kept_text), schema)
+    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(light(_cut(window, buckets, kept_text)), schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
