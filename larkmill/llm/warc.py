@@ -8,6 +8,7 @@ the plain frame and length, so that one record is read by decompressing one fram
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import uuid
 
@@ -22,6 +23,8 @@ SEEK_MAGIC = 0x8F92EAB1
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
+#: Plain bytes that a reading task is given, about, and frames of a bundle that are read together.
+READ_BYTES, FRAMES_TOGETHER = 32 << 20, 16
 LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id bigint, bundle string, frame int, offset bigint, length bigint"
@@ -135,44 +138,52 @@ def opened(uri: str, write: bool = False):
 
 
 def with_types(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """key, url, payload, digest, first: first is the smallest key among equal payloads of at least LEAST_REVISIT bytes."""
+    """page_id, url, payload, digest, first: first is the smallest key among equal payloads of at least LEAST_REVISIT bytes.
+
+    Smaller payloads are not looked up: they are dealt out one by one, so that the many empty ones do not meet in a task.
+    """
     base = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    base = base.withColumn("digest", F.sha2("payload", 256))
-    firsts = base.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return base.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    large = F.octet_length("payload") >= LEAST_REVISIT
+    base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("look", F.when(large, F.col("digest")).otherwise(F.monotonically_increasing_id().cast("string")))
+    firsts = base.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("look"), "first")
+    return base.join(firsts, "look", "left").select("page_id", "url", "payload", "digest", "first")
 
 
 def write_bundles(typed: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes bundles into a shared folder, returns the index (a table in that folder).
 
-    Each attempt of a task writes bundles of new names; the index names only those of attempts that ended well.
+    Each attempt of a task writes bundles of new names; the index names only those of attempts that ended well. Records of a
+    null key are always responses.
     """
 
     def run(batches):
         import pyarrow as pa
 
         sink = writer = name = None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = []
-                for page_id, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    if writer is None:
-                        name = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-                        sink = opened(name, write=True)
-                        writer = BundleWriter(sink, frame_bytes)
-                    kind = "revisit" if first is not None and first != page_id else "response"
-                    place = writer.add(record_bytes(page_id, url, kind, first, digest, payload))
-                    rows.append((page_id, name, *place))
-                    if writer.written + writer.held_bytes > bundle_bytes:
-                        writer.finish()
-                        sink.close()
-                        writer = None
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "bundle", "frame", "offset", "length"])
-        if writer is not None:
-            writer.finish()
-            sink.close()
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    rows = []
+                    for page_id, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                        if writer is None:
+                            name = f"{folder}/{uuid.uuid4().hex}.warc.zst"
+                            sink = opened(name, write=True)
+                            writer = BundleWriter(sink, frame_bytes)
+                        kind = "revisit" if None not in (first, page_id) and first != page_id else "response"
+                        place = writer.add(record_bytes(page_id, url, kind, first, digest, payload))
+                        rows.append((page_id, name, *place))
+                        if writer.written + writer.held_bytes > bundle_bytes:
+                            writer.finish()
+                            sink.close()
+                            sink = writer = None
+                    cols = list(zip(*rows, strict=True))
+                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "bundle", "frame", "offset", "length"])
+            if writer is not None:
+                writer.finish()
+        finally:
+            if sink is not None:
+                sink.close()
 
     spark = typed.sparkSession
     lean(typed).mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
@@ -180,35 +191,57 @@ def write_bundles(typed: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
 
 
 def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the bundles that an index names; digests of responses are taken anew from what was read."""
+    """The records that an index names, each taken at its place; digests of responses are taken anew from what was read.
+
+    Runs of FRAMES_TOGETHER frames of a bundle are the unit of work: a task opens few bundles, and decompresses a frame once for all
+    of its records. The number of tasks follows the bytes to read.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                with opened(name) as source:
-                    bundle = BundleReader(source)
-                    for k in range(len(bundle.frames)):
-                        data, at, rows = bundle.frame(k), 0, []
-                        while at < len(data):
-                            head, payload, at = parse_record(data, at)
-                            digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["X-Payload-Length"])
-                            if head["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, size):
-                                raise ValueError(f"{name}: {head['WARC-Record-ID']} is damaged")
-                            rows.append((_id(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], _id(head.get("WARC-Refers-To")), size, digest, payload if payloads and head["WARC-Type"] == "response" else None))
-                        cols = list(zip(*rows, strict=True))
-                        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
-
-    return index.select("bundle").distinct().mapInArrow(run, RECORDS)
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+        source = bundle = at = None
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                for name, frame, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if at is None or at[0] != name:
+                        if source is not None:
+                            source.close()
+                        source = opened(name)
+                        bundle, at = BundleReader(source), None
+                    if at != (name, frame):
+                        data, at = bundle.frame(frame), (name, frame)
+                    head, payload, end = parse_record(data, offset)
+                    digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["X-Payload-Length"])
+                    kind = head["WARC-Type"]
+                    if end != offset + length or kind == "response" and (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, size):
+                        raise ValueError(f"{name}: {head['WARC-Record-ID']} is damaged")
+                    rows.append((_id(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, _id(head.get("WARC-Refers-To")), size, digest, payload if payloads and kind == "response" else None))
+                    held += length
+                    if held > FRAME_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        finally:
+            if source is not None:
+                source.close()
+
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(size / READ_BYTES))
+    placed = index.repartition(tasks, "bundle", F.floor(F.col("frame") / FRAMES_TOGETHER)).sortWithinPartitions("bundle", "frame", "offset")
+    return lean(placed).select("bundle", "frame", "offset", "length").mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(index, records): writes every row of pages as a WARC record and reads the bundles back.
 
     Null html is an empty payload, null urls give no target. Rows with one key and equal payloads are all responses if the key
-    is the smallest. An empty table gives no bundle. Other columns are not read.
+    is the smallest; rows of a null key are all responses, and no other row revisits them. An empty table gives no bundle. Other
+    columns are not read.
     """
     index = write_bundles(with_types(pages), folder or fresh(pages.sparkSession, "warc"))
     return index, read_bundles(index)
