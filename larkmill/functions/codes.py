@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .chance import uniform
+
+
+def dense(indices: Column, values: Column, n: int) -> Column:
+    """An array of n values from the places and values of a sparse one; other places hold 0, of equal places the last value."""
+    held = F.map_from_entries(F.transform(F.array_sort(F.arrays_zip(indices.alias("i"), values.alias("v"))), lambda x: F.struct(x["i"].cast("int"), x["v"])))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at(held, k.cast("int")), F.lit(0)))
+
+
+def squeeze(nested: Column) -> Column:
+    """The inner array of an array that holds just one; longer ones raise an error, null and empty ones give null."""
+    return F.when(F.size(nested) > 1, F.raise_error(F.lit("more than one entry to squeeze"))).otherwise(F.get(nested, F.lit(0)))
+
 
 def add_level_offset(codes: Column, levels: int, width: int) -> Column:
     """codes of level h (by place) plus h * width; -1 (padding) stays."""
@@ -39,6 +52,6 @@ def causal_mask(n: int) -> Column:
 
 def mask_tokens(seq: Column, key: Column, share: float, mask: int, seed: int, span: int = 1) -> Column:
     """seq with about `share` of its tokens (or spans of tokens) masked by hash, at least one where there is any."""
-    u = lambda i: F.pmod(F.xxhash64(key, F.floor(i / span), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    u = lambda i: uniform(key, F.floor(i / span), seed=seed)
     least = F.array_min(F.transform(seq, lambda _, i: F.struct(u(i).alias("u"), F.floor(i / span).alias("i"))))["i"]
     return F.transform(seq, lambda x, i: F.when((u(i) < share) | (F.floor(i / span) == least), F.lit(mask).cast("bigint")).otherwise(x))

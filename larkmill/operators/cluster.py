@@ -81,3 +81,10 @@ def principal_components(vectors: DataFrame, k: int, key: str = "item_id", vec:
 
     rows = vectors.select(key, array_to_vector(vec).alias("__v"))
     return PCA(k=k, inputCol="__v", outputCol="__p").fit(rows).transform(rows).select(key, vector_to_array("__p").alias("projection"))
+
+
+def explained_variance(vectors: DataFrame, k: int, vec: str = "e") -> list[float]:
+    """Share of the variance that each of the first k principal components explains."""
+    from pyspark.ml.feature import PCA
+
+    return PCA(k=k, inputCol="__v", outputCol="__p").fit(vectors.select(array_to_vector(vec).alias("__v"))).explainedVariance.toArray().tolist()

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkmill.functions.chance import uniform
+
+from .sequence import ranked_rows
+from .staging import staged
 from .stats import gini
+from .vector import dot
 
 
 def ideal_dcg(n: Column, k: Column | int) -> Column:
@@ -48,10 +53,28 @@ def exposure(pred: DataFrame, catalog: DataFrame, ks: list[int]) -> DataFrame:
 
 def bundle(pred: DataFrame, targets: DataFrame, tail: DataFrame, catalog: DataFrame, ks: list[int]) -> DataFrame:
     """All metrics as (k, metric, value), rounded to 6 digits, for users with a list and a target."""
-    users = targets.select("user_id").distinct()
-    mine = pred.join(users, "user_id", "left_semi")
-    acc = per_user(mine, targets, ks).groupBy("k").agg(*(F.avg(m).alias(m) for m in ("recall", "hr", "ndcg")))
-    wide = acc.join(tail_shares(mine, tail, ks), "k").join(exposure(mine, catalog, ks), "k")
+    t = targets.select("user_id", "item_id").distinct()
+    goal = t.groupBy("user_id").agg(F.collect_set("item_id").alias("wanted"))
+    tails = tail.select("item_id", F.col("tail").cast("int").alias("tail"))
+    # lists are marked once: a row for each user and place within some k, with its hit and tail marks
+    marked = staged(pred.select("user_id", "item_id", "rank").where(F.col("rank") <= max(ks)).join(goal, "user_id").select("user_id", "item_id", "rank", F.size("wanted").alias("n_targets"), F.array_contains("wanted", F.col("item_id")).alias("hit")).join(tails, "item_id", "left"), "marked")
+    inside = lambda k: F.col("rank") <= k
+    total = lambda flag, x: F.sum(F.when(flag, x).otherwise(0))
+    users = marked.groupBy("user_id").agg(
+        F.max("n_targets").alias("n"),
+        *(total(inside(k) & F.col("hit"), 1).alias(f"hits{k}") for k in ks), *(total(inside(k) & F.col("hit"), 1 / F.log2(F.col("rank") + F.lit(1.0))).alias(f"dcg{k}") for k in ks),
+        *(total(inside(k), F.col("tail")).alias(f"t{k}") for k in ks), *(total(inside(k) & F.col("tail").isNotNull(), 1).alias(f"s{k}") for k in ks),
+    )
+    of = lambda name, k: F.col(f"{name}{k}")
+    means = users.agg(*(x for k in ks for x in (
+        F.avg(of("hits", k) / F.col("n")).alias(f"recall{k}"), F.avg((of("hits", k) > 0).cast("double")).alias(f"hr{k}"), F.avg(of("dcg", k) / ideal_dcg(F.col("n"), k)).alias(f"ndcg{k}"),
+        F.avg(F.when(of("s", k) > 0, of("t", k) / of("s", k))).alias(f"aplt{k}"), (F.sum(of("t", k)) / F.greatest(F.lit(1), F.sum(of("s", k)))).alias(f"tail_exposure{k}"),
+    )))
+    names = ("recall", "hr", "ndcg", "aplt", "tail_exposure")
+    accuracy = means.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"{m}{k}").alias(m) for m in names)) for k in ks))).alias("x")).select("x.*")
+    shown = marked.groupBy("item_id").agg(*(F.count_if(inside(k)).alias(f"x{k}") for k in ks))
+    full = catalog.select("item_id").join(shown, "item_id", "left").select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(f"x{k}", F.lit(0)).alias("x")) for k in ks))).alias("y")).select("y.*")
+    wide = accuracy.join(full.groupBy("k").agg((F.count_if(F.col("x") > 0) / F.count("*")).alias("coverage")).join(gini(full, "x", ["k"]).withColumnRenamed("gini", "exposure_gini"), "k"), "k")
     return wide.unpivot(["k"], [c for c in wide.columns if c != "k"], "metric", "value").withColumn("value", F.round("value", 6))
 
 
@@ -73,6 +96,23 @@ def clamped_recall(pred: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     return n.join(hits, "user_id", "left").select("user_id", (F.coalesce("hits", F.lit(0)) / F.greatest(F.lit(1), F.least("n", F.lit(k)))).alias("recall"))
 
 
+def sampled_retrieval(queries: DataFrame, catalog: DataFrame, negatives: int, seed: int = 0, vec: str = "e") -> DataFrame:
+    """(query_id, positive, place, n): the place of each query's positive item, by dot product (9 digits), among n items drawn
+    from the whole catalog; equal scores do not push it back.
+
+    queries (query_id, vec, positive), catalog (item_id, vec). Draws are hashes of query and draw onto places in id order; those
+    that hit the positive are left out. Draws meet the catalog by an equi-join on the place.
+    """
+    placed = ranked_rows(catalog.select("item_id", F.col(vec).alias("__v")), ["item_id"], "__r", "__size").withColumn("__r", F.col("__r").cast("bigint"))
+    size = catalog.count()
+    draws = queries.select("query_id", vec, "positive", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("__d"))
+    drawn = draws.select("query_id", vec, "positive", F.floor(uniform("query_id", "__d", seed=seed) * size).cast("bigint").alias("__r")).join(placed.select("item_id", "__v", "__r"), "__r").where("item_id <> positive")
+    truth = queries.join(placed.select(F.col("item_id").alias("positive"), "__v"), "positive").select("query_id", "positive", F.round(dot(F.col(vec), F.col("__v")), 9).alias("__s"))
+    scored = drawn.select("query_id", F.round(dot(F.col(vec), F.col("__v")), 9).alias("__x"))
+    joined = truth.join(scored, "query_id", "left")
+    return joined.groupBy("query_id", "positive").agg((F.count_if(F.col("__x") > F.col("__s")) + 1).alias("place"), F.count("__x").alias("n"))
+
+
 def beam_search(transitions: DataFrame, beams: int, levels: int, start: list[int] = (), valid: DataFrame | None = None) -> DataFrame:
     """(path array, logp, rank): the best code paths of a transition table (level, prev, code, p), level by level.
 

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import gumbel, uniform
+from larkmill.functions.chance import normal, uniform
+
+from .ranking import gumbel
 from .vector import dot, unit
 
 
@@ -35,6 +37,14 @@ def zipf_assign(rows: DataFrame, u: Column, n: int, a: float, name: str) -> Data
     return rows.withColumn(name, F.least(F.lit(n), F.size(F.filter(below, lambda e: e < u)) + 1))
 
 
+def noisy_vectors(rows: DataFrame, sigma: float, years: Column, low: float, high: float, key: str = "item_id", vec: str = "e", seed: int = 0) -> DataFrame:
+    """rows with vec as a member of its group: the group's base vector plus normal noise of its own in every dimension, grown
+    with the years of experience and clipped to a range."""
+    grown = lambda x: x * (0.88 + 0.012 * years)
+    noise = lambda d: sigma * normal(key, d, seed=seed)
+    return rows.withColumn(vec, F.transform(vec, lambda x, d: F.greatest(F.lit(low), F.least(F.lit(high), grown(x + noise(d))))))
+
+
 def spans(users: DataFrame, total: int, days: float = 365.0, mu: float = 1.5, sigma: float = 1.0) -> DataFrame:
     """(user_id, start, stop, n): registration day, end of activity and a lognormal count rescaled to a total."""
     u = [uniform("user_id", seed=k) for k in range(4)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector import dot, group_mean, norm
+from .vector import dot, group_mean, norm, width_of
 
 # Relation weights, and weights of head/mid/tail label pairs.
 RELATION = {"bought_together": 2.0, "also_bought": 1.0, "also_viewed": 0.6}
@@ -56,7 +56,7 @@ def reweighted(weights: DataFrame, labels: DataFrame) -> DataFrame:
 def neighbour_means(weights: DataFrame, vectors: DataFrame, vec: str = "e") -> DataFrame:
     """(item_id, mean): weighted mean of the neighbours' vectors; items without neighbours have no row."""
     joined = weights.join(vectors.select(F.col("item_id").alias("dst"), F.col(vec).alias("__v")), "dst")
-    return group_mean(joined.select(F.col("src").alias("item_id"), "w", "__v"), ["item_id"], "__v", F.col("w"))
+    return group_mean(joined.select(F.col("src").alias("item_id"), "w", "__v"), ["item_id"], "__v", F.col("w"), width_of(vectors, vec))
 
 
 def blend(vectors: DataFrame, weights: DataFrame, alpha: float = 0.3, vec: str = "e") -> DataFrame:

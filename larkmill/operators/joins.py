@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .ranking import hash_order
 
+#: Rows of one token that a task meets with all others of it.
+SALTED = 2000
+
 
 def scatter(catalog: DataFrame, rows: DataFrame, key: str, vec: str, width: int) -> DataFrame:
     """Every catalog row with its vector, zeros where it has none; keys outside the catalog are dropped."""
@@ -38,9 +41,16 @@ def two_hop(first: DataFrame, second: DataFrame, k: int, seed: str) -> DataFrame
 
 
 def shared_tokens(tokens: DataFrame, key: str) -> DataFrame:
-    """(a, b, n): pairs a < b of keys and the number of tokens (key, token) both have."""
-    a, b = tokens.distinct().withColumnRenamed(key, "a"), tokens.distinct().withColumnRenamed(key, "b")
-    return a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n): pairs a < b of keys and the number of tokens (key, token) both have.
+
+    The rows of a frequent token are dealt out over as many parts as it has SALTED rows, so that no task meets all of its pairs.
+    """
+    held = tokens.select(key, "token").distinct()
+    sizes = held.groupBy("token").agg(F.count("*").alias("__n")).where("__n > 1").select("token", F.ceil(F.col("__n") / SALTED).cast("int").alias("__parts"))
+    held = held.join(sizes, "token")
+    a = held.select(F.col(key).alias("a"), "token", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int").alias("__part"))
+    b = held.select(F.col(key).alias("b"), "token", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+    return a.join(b, ["token", "__part"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def tfidf(tokens: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkmill.functions.chance import uniform
+
+from .staging import staged
+
 
 def top_k(scored: DataFrame, group: list[str], order: list[Column | str], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group, numbered from 1; Spark prunes groups before the shuffle's sort."""
@@ -69,11 +73,16 @@ def exposure_slots(ranked: DataFrame, k: int, cap: int) -> DataFrame:
 
 
 def pareto(points: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """points with dominated: another is at least as good on both axes and better on one."""
-    o = points.select(F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    worse = (F.col("__k") != F.col(key)) & (F.col("__x") >= F.col(x)) & (F.col("__y") >= F.col(y)) & ((F.col("__x") > F.col(x)) | (F.col("__y") > F.col(y)))
-    bad = points.join(F.broadcast(o), worse, "left_semi").select(key).withColumn("dominated", F.lit(True))
-    return points.join(bad, key, "left").withColumn("dominated", F.coalesce("dominated", F.lit(False)))
+    """points with dominated: another is at least as good on both axes and better on one. Points without x or y are not."""
+    # the best y of each x, ranges of falling x, and the best y of all larger x: of the ranges before, then within the range
+    best = points.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__x")).agg(F.max(y).alias("__y"))
+    ranged = staged(best.repartitionByRange(F.desc("__x")).withColumn("__part", F.spark_partition_id()), "pareto")
+    before = lambda name, w: F.max(name).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    tops = ranged.groupBy("__part").agg(F.max("__y").alias("__top")).withColumn("__ahead", before("__top", Window.orderBy("__part"))).select("__part", "__ahead")
+    larger = ranged.withColumn("__inside", before("__y", Window.partitionBy("__part").orderBy(F.desc("__x")))).join(F.broadcast(tops), "__part")
+    larger = larger.select("__x", "__y", F.greatest("__inside", "__ahead").alias("__larger"))
+    joined = points.join(larger, F.col(x) == F.col("__x"), "left")
+    return joined.withColumn("dominated", F.coalesce((F.col("__larger") >= F.col(y)) | (F.col("__y") > F.col(y)), F.col("__y") > F.col(y), F.lit(False))).select(*points.columns, "dominated")
 
 
 def gumbel(u: Column) -> Column:
@@ -81,11 +90,6 @@ def gumbel(u: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def uniform(*keys: Column | str, seed: int = 0) -> Column:
-    """A number in (0, 1) of a hash of keys and seed; the same in every run."""
-    return (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-
-
 def hash_order(key: Column | str, seed: str) -> Column:
     """Random order that other engines can repeat."""
     return F.md5(F.concat((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(f"|{seed}")))

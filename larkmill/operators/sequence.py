@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
+#: Rows that one task may sort; more are numbered over ranges.
+ONE_TASK = 2_000_000
+
+# Names of tiers and buckets; cold_tier and bucket hold their limits.
 TIERS = ("unseen", "very_rare", "rare", "normal")
 BUCKETS = ("zero-shot", "few-shot", "low", "mid", "head")
 
 
-def global_row_number(df: DataFrame, order: list[str], name: str = "r") -> DataFrame:
+def global_row_number(df: DataFrame, order: list, name: str = "r") -> DataFrame:
     """df with a 0-based number in a total order, without bringing all rows to one task.
 
     Rows are range-partitioned and numbered within their range; ranges add the rows before them. Order must be total or equal
     rows alike.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return ranged.withColumn("__local", local).join(F.broadcast(before), "__part").withColumn(name, F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")
 
 
+def ranked_rows(df: DataFrame, order: list, name: str = "r", size: str | None = None) -> DataFrame:
+    """df with a 0-based number in a total order and, where asked for, the number of rows; few rows are sorted by one task, many
+    over ranges."""
+    n = df.count()
+    out = df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1) if n <= ONE_TASK else global_row_number(df, order, name)
+    return out.withColumn(size, F.lit(n).cast("bigint")) if size else out
+
+
 def dense_ids(keys: DataFrame, key: str, name: str) -> DataFrame:
     """Distinct keys in sorted order, numbered from 0."""
     return global_row_number(keys.select(key).where(F.col(key).isNotNull()).distinct(), [key], name)
@@ -103,8 +117,8 @@ def bucket(count: Column) -> Column:
 
 
 def popularity_rank(counts: DataFrame, item: str = "item_id") -> DataFrame:
-    """counts with r (0-based, by count descending then id) and the catalog's size; catalogs fit one task's sort."""
-    return counts.withColumn("r", F.row_number().over(Window.orderBy(F.desc("cnt"), item)) - 1).withColumn("n_items", F.count("*").over(Window.partitionBy()))
+    """counts with r (0-based, by count descending then id) and the catalog's size."""
+    return ranked_rows(counts, [F.desc("cnt"), F.col(item)], "r", "n_items")
 
 
 def long_tail(counts: DataFrame, fraction: float) -> DataFrame:
@@ -117,10 +131,10 @@ def head_mid_tail(counts: DataFrame, head: float = 0.2, tail: float = 0.8) -> Da
     return popularity_rank(counts).withColumn("label", F.when(F.col("r") < F.floor(F.col("n_items") * head), "head").when(F.col("r") >= F.floor(F.col("n_items") * tail), "tail").otherwise("mid")).drop("r", "n_items")
 
 
-def subsequences(histories_: DataFrame, cap: int = 12) -> DataFrame:
-    """All contiguous parts of at least two items; histories longer than cap are first cut to their last cap items."""
+def subsequences(histories_: DataFrame, cap: int | None = None) -> DataFrame:
+    """All contiguous parts of at least two items, row by row; cap: only of each history's last cap items."""
     s = F.col("items")
-    last = F.when(F.size(s) > cap, F.slice(s, -cap, cap)).otherwise(s)
+    last = s if cap is None else F.when(F.size(s) > cap, F.slice(s, -cap, cap)).otherwise(s)
     ends = histories_.withColumn("__s", last).where(F.size("__s") >= 2).select("user_id", "__s", F.explode(F.sequence(F.lit(2), F.size("__s"))).alias("stop"))
     return ends.select("user_id", "__s", "stop", F.explode(F.sequence(F.lit(1), F.col("stop") - 1)).alias("start")).select("user_id", (F.col("start") - 1).alias("start"), "stop", F.slice("__s", F.col("start"), F.col("stop") - F.col("start") + 1).alias("part"))
 

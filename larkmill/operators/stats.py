@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkmill.functions.chance import poisson, uniform
+
+from .sequence import ranked_rows
+from .staging import staged
+
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: One-sided 5 % critical values of t by degrees of freedom (fixed values).
-CRITICAL = {2: 2.920, 3: 2.353, 4: 2.132, 5: 2.015, 6: 1.943}
+CRITICAL = {1: 6.314, 2: 2.920, 3: 2.353, 4: 2.132, 5: 2.015, 6: 1.943, 7: 1.895, 8: 1.860, 9: 1.833}
 
 
 def gini(rows: DataFrame, x: str, groups: list[str] = ()) -> DataFrame:
@@ -30,16 +35,24 @@ def quantiles(rows: DataFrame, x: str, groups: list[str] = ()) -> DataFrame:
 
 def top_share(rows: DataFrame, key: str, x: str, share: float) -> DataFrame:
     """Part of the sum of x that the first int(share n) rows hold, at least one."""
-    r = rows.withColumn("__r", F.row_number().over(Window.orderBy(F.desc(x), key))).withColumn("__n", F.count("*").over(Window.partitionBy()))
-    return r.agg((F.sum(F.when(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * share)), F.col(x)).otherwise(0)) / F.sum(x)).alias("share"))
+    r = ranked_rows(rows, [F.desc(x), F.col(key)], "__r", "__n")
+    return r.agg((F.sum(F.when(F.col("__r") < F.greatest(F.lit(1), F.floor(F.col("__n") * share)), F.col(x)).otherwise(0)) / F.sum(x)).alias("share"))
 
 
 def items_for_mass(rows: DataFrame, key: str, x: str, shares: list[float]) -> DataFrame:
     """(share, items): how many of the largest rows reach each share of the sum."""
-    w = Window.orderBy(F.desc(x), key)
-    run = rows.select(F.row_number().over(w).alias("r"), F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.sum(x).over(Window.partitionBy()).alias("total"))
-    wanted = F.explode(F.array(*map(F.lit, shares))).alias("share")
-    return run.select("*", wanted).where(F.col("s") >= F.col("share") * F.col("total")).groupBy("share").agg(F.min("r").cast("bigint").alias("items"))
+    # equal values are counted once with their frequency; distinct values are summed over ranges, then within the range
+    sizes = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count("*").alias("c"), F.sum(x).alias("s"))
+    ranged = staged(sizes.repartitionByRange(F.desc("x")).withColumn("part", F.spark_partition_id()), "mass")
+    before = lambda name, w: F.coalesce(F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("part").agg(F.sum("c").alias("pc"), F.sum("s").alias("ps"))
+    by_part, inside = Window.orderBy("part"), Window.partitionBy("part").orderBy(F.desc("x"))
+    parts = parts.select("part", before("pc", by_part).alias("pc"), before("ps", by_part).alias("ps"), F.sum("ps").over(Window.partitionBy()).alias("total"))
+    run = ranged.select("part", "x", "c", "s", before("c", inside).alias("bc"), before("s", inside).alias("bs")).join(F.broadcast(parts), "part")
+    run = run.select("x", "c", (F.col("pc") + F.col("bc")).alias("bc"), (F.col("ps") + F.col("bs")).alias("bs"), "total", F.explode(F.array(*map(F.lit, shares))).alias("share"))
+    missing = F.col("share") * F.col("total") - F.col("bs")
+    reached = run.where((missing <= F.col("c") * F.col("x")) & (missing > 0) | (missing <= 0) & (F.col("bc") == 0))
+    return reached.groupBy("share").agg(F.min(F.col("bc") + F.greatest(F.lit(1), F.ceil(missing / F.nullif(F.col("x"), F.lit(0))))).cast("bigint").alias("items"))
 
 
 def entropy_bits(rows: DataFrame, groups: list[str], code: str) -> DataFrame:
@@ -63,7 +76,8 @@ def gate(value: Column, target: Column, warn: Column, fail: Column, relative: Co
 
 def verdict(runs: DataFrame, a: str, b: str, use_min: bool = False) -> DataFrame:
     """Per metric of runs (condition, seed, metric, value): effect of a over b in paired seeds, noise floor (largest spread of
-    either condition), whether all signs agree, paired t and whether it passes its critical value."""
+    either condition), whether all signs agree, paired t and whether it passes its critical value: null where t is undefined or the
+    table of critical values does not reach."""
     spread = runs.where(F.col("condition").isin(a, b)).groupBy("metric", "condition").agg((F.max("value") - F.min("value")).alias("s")).groupBy("metric").agg(F.max("s").alias("floor"))
     x, y = runs.where(F.col("condition") == a).select("metric", "seed", F.col("value").alias("x")), runs.where(F.col("condition") == b).select("metric", "seed", F.col("value").alias("y"))
     d = x.join(y, ["metric", "seed"]).withColumn("d", F.col("x") - F.col("y"))
@@ -71,7 +85,7 @@ def verdict(runs: DataFrame, a: str, b: str, use_min: bool = False) -> DataFrame
     effect = F.min(F.abs("d")) if use_min else F.abs(F.avg("d"))
     t = F.avg("d") / F.nullif(F.stddev_samp("d") / F.sqrt(F.count("*")), F.lit(0.0))
     out = d.groupBy("metric").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), effect.alias("effect"), (F.bool_and(F.col("d") > 0) | F.bool_and(F.col("d") < 0)).alias("same_sign"), t.alias("t")).join(spread, "metric")
-    return out.withColumn("passes", F.col("same_sign") & (F.col("effect") > F.col("floor"))).withColumn("significant", F.coalesce(F.col("t") > F.try_element_at(table, (F.col("n") - 1).cast("int")), F.lit(False)))
+    return out.withColumn("passes", F.col("same_sign") & (F.col("effect") > F.col("floor"))).withColumn("significant", F.col("t") > F.try_element_at(table, (F.col("n") - 1).cast("int")))
 
 
 def null_verdict(gain: Column, null_gain: Column) -> Column:
@@ -79,26 +93,23 @@ def null_verdict(gain: Column, null_gain: Column) -> Column:
     return F.when(gain <= 0, "no gain").when(null_gain <= 0, "vanishes").when(null_gain < gain / 2, "shrinks").otherwise("remains")
 
 
+def compare_curves(rows: DataFrame, step: str, x: str, y: str, key: Column, rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """Per step of two curves: the means a and b of x and y, their spreads over rows, and a percentile interval lo, hi of the mean
+    of x - y over Poisson resamples; a row's weights are hashes of its key and the round."""
+    base = rows.groupBy(step).agg(F.avg(x).alias("a"), F.avg(y).alias("b"), (F.max(x) - F.min(x)).alias("spread_a"), (F.max(y) - F.min(y)).alias("spread_b"))
+    drawn = rows.select(step, key.alias("__key"), (F.col(x) - F.col(y)).alias("__d"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("__round")).withColumn("__w", poisson(uniform("__key", "__round", seed=seed)))
+    means = drawn.where("__w > 0").groupBy(step, "__round").agg((F.sum(F.col("__w") * F.col("__d")) / F.sum("__w")).alias("__m"))
+    return base.join(means.groupBy(step).agg(F.percentile("__m", 0.025).alias("lo"), F.percentile("__m", 0.975).alias("hi")), step)
+
+
 def bootstrap(pairs: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """(n, mean, lo, hi, p): percentile interval of the mean of paired differences d over Poisson resamples.
+    """(n, mean, lo, hi, p): percentile interval of the mean of paired differences (key, d) over Poisson resamples; p is the share of
+    resamples whose mean is not above 0.
 
-    Each row draws its weights from a hash, so partial sums merge and no task holds all rows.
+    A row's weight in a round is drawn from a hash of its key and the round, whatever its partition, so that partial sums merge
+    and no task holds all rows.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        total = None
-        for batch in batches:
-            d, key = batch["d"].to_numpy(float), batch["key"].to_numpy(np.int64)
-            for lo in range(0, len(d), 4096):
-                rng = np.random.default_rng([seed, int(abs(key[lo])), len(d)])
-                w = rng.poisson(1.0, (min(4096, len(d) - lo), rounds))
-                part = np.stack((w.sum(0), d[lo : lo + 4096] @ w))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"round": np.arange(rounds), "w": total[0], "s": total[1]})
-
-    means = pairs.select("key", "d").mapInPandas(run, "round int, w double, s double").groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    drawn = pairs.where(F.col("d").isNotNull()).select("key", "d", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select("round", "d", poisson(uniform("key", "round", seed=seed)).alias("w"))
+    means = drawn.where("w > 0").groupBy("round").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
     point = pairs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
     return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.avg((F.col("m") <= 0).cast("double")).alias("p")).crossJoin(point)

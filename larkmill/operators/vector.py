@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of vectors that may be sent to every task; beyond it neighbours are searched block by block.
 BROADCAST_BYTES = 256 << 20
+#: Dimensions up to which vectors are summed column by column.
+SUMMED = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,9 +43,21 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def group_mean(rows: DataFrame, keys: list[str], vec: str, weight: Column | None = None) -> DataFrame:
-    """(keys, mean): weighted mean vector of each group, by dimension; partial sums are merged before the shuffle."""
+def width_of(vectors: DataFrame, vec: str) -> int:
+    """Length of the first vector, 0 if there is none."""
+    first = vectors.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    return first[0] if first else 0
+
+
+def group_mean(rows: DataFrame, keys: list[str], vec: str, weight: Column | None = None, width: int = 0) -> DataFrame:
+    """(keys, mean): weighted mean vector of each group, by dimension; partial sums are merged before the shuffle.
+
+    width: the vectors' common length; up to SUMMED it makes one sum for each dimension, else vectors are taken apart.
+    """
     w = weight if weight is not None else F.lit(1.0)
+    if 0 < width <= SUMMED:
+        sums = rows.where(F.col(vec).isNotNull()).groupBy(*keys).agg(F.sum(w).alias("__t"), *(F.sum(w * F.get(F.col(vec), F.lit(d))).alias(f"__s{d}") for d in range(width)))
+        return sums.select(*keys, F.array(*(F.col(f"__s{d}") / F.col("__t") for d in range(width))).alias("mean"))
     long = rows.select(*keys, w.alias("__w"), F.posexplode(vec).alias("__d", "__x"))
     means = long.groupBy(*keys, "__d").agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("__m"))
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__d", "__m"))), lambda z: z["__m"]).alias("mean"))
@@ -51,7 +65,7 @@ def group_mean(rows: DataFrame, keys: list[str], vec: str, weight: Column | None
 
 def centred(vectors: DataFrame, vec: str = "e") -> DataFrame:
     """vectors with vec less the mean of all."""
-    mu = group_mean(vectors.withColumn("__g", F.lit(0)), ["__g"], vec).select(F.col("mean").alias("__mu"))
+    mu = group_mean(vectors.withColumn("__g", F.lit(0)), ["__g"], vec, width=width_of(vectors, vec)).select(F.col("mean").alias("__mu"))
     return vectors.crossJoin(F.broadcast(mu)).withColumn(vec, minus(F.col(vec), F.col("__mu"))).drop("__mu")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkmill.operators import graph, ranking, recommend, sequence, vector
+from larkmill.operators.staging import staged
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +40,7 @@ class Tables:
 
     @cached_property
     def loo(self) -> DataFrame:
-        return sequence.leave_one_out(self.seq)
+        return staged(sequence.leave_one_out(self.seq), "loo")
 
     @cached_property
     def train(self) -> DataFrame:
@@ -59,7 +60,7 @@ class Tables:
 
     @cached_property
     def pred(self) -> DataFrame:
-        return recommend.most_popular(self.counts, self.train, self.test.select("user_id").distinct(), 50)
+        return staged(recommend.most_popular(self.counts, self.train, self.test.select("user_id").distinct(), 50), "pred")
 
     @cached_property
     def ev(self) -> DataFrame:
@@ -68,7 +69,7 @@ class Tables:
 
     @cached_property
     def chunked(self) -> DataFrame:
-        return sequence.count_windows(self.ev, "ts", 5)
+        return staged(sequence.count_windows(self.ev, "ts", 5), "chunked")
 
     @cached_property
     def ecat(self) -> DataFrame:
@@ -88,7 +89,7 @@ class Tables:
 
     @cached_property
     def epred(self) -> DataFrame:
-        return recommend.most_popular(self.ecounts, self.etrain, self.etarget.select("user_id").distinct(), 200)
+        return staged(recommend.most_popular(self.ecounts, self.etrain, self.etarget.select("user_id").distinct(), 200), "pred")
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkmill.operators import evaluate, ranking, recommend, sequence, stats, vector
+from larkmill.functions.chance import poisson_sql, uniform_sql
+from larkmill.operators import evaluate, ranking, recommend, sequence, stats
 from larkmill.operators.ranking import hash_order
+from larkmill.operators.staging import staged
 
 from .base import CODES, query
 from .sequences import BUCKET, RANKED, TIER
@@ -115,14 +117,15 @@ def _(t):
     return generated(t).select("id", F.array("c1", "c2", "c3").alias("got")).join(truth, "id").select("id", (F.col("got") == F.col("want")).alias("hit"))
 
 
-@query("evl_13_sampled_retrieval")
+@query("evl_13_sampled_retrieval", f"""WITH q AS (SELECT * FROM (SELECT item_id, e, lead(item_id) OVER (PARTITION BY label ORDER BY item_id) AS positive FROM b_emb) WHERE positive IS NOT NULL),
+c AS (SELECT item_id, e, row_number() OVER (ORDER BY item_id) - 1 AS r FROM b_emb), d AS (SELECT item_id AS query_id, e, positive, unnest(range(30)) AS d FROM q),
+n AS (SELECT query_id, round(list_dot_product(d.e, c.e), 9) AS x FROM d JOIN c ON c.r = floor({uniform_sql('query_id, d', 13)} * (SELECT count(*) FROM b_emb))::BIGINT AND c.item_id <> positive),
+p AS (SELECT q.item_id AS query_id, positive, round(list_dot_product(q.e, c.e), 9) AS s FROM q JOIN c ON c.item_id = positive)
+SELECT p.query_id, p.positive, count(*) FILTER (x > s) + 1 AS place, count(x) AS n FROM p LEFT JOIN n USING (query_id) GROUP BY p.query_id, p.positive""")
 def _(t):
-    """Rank of the nearest vector of the same label among hash-sampled negatives."""
-    n = vector.neighbours(t.emb, 50)
-    sample = n.withColumn("h", hash_order(F.concat_ws("-", "item_id", "nbr"), "neg"))
-    w = Window.partitionBy("item_id")
-    kept = sample.withColumn("r", F.row_number().over(w.orderBy("h", "nbr"))).where("r <= 20 or rank = 1")
-    return kept.withColumn("place", F.row_number().over(w.orderBy(F.desc("cosine"), "nbr"))).where("rank = 1").select("item_id", "place")
+    following = F.lead("item_id").over(Window.partitionBy("label").orderBy("item_id"))
+    queries = t.emb.select(F.col("item_id").alias("query_id"), "e", following.alias("positive")).where("positive is not null")
+    return evaluate.sampled_retrieval(queries, t.emb.select("item_id", "e"), 30, seed=13)
 
 
 @query("evl_14_mergeable_mean", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, count(*) AS n FROM lineitem GROUP BY l_returnflag")
@@ -150,10 +153,16 @@ def _(t):
     return t.pred.where("rank <= 10").join(tails, "item_id").groupBy("fraction").agg(r6(F.avg(F.col("tail").cast("double"))).alias("tail_exposure"))
 
 
-@query("evl_18_bootstrap")
+def bootstrap_sql(pairs, rounds, seed):
+    return f"""bd AS ({pairs}), bw AS (SELECT round, d, {poisson_sql('u')} AS w FROM (SELECT d, round, {uniform_sql('key, round', seed)} AS u FROM (SELECT key, d, unnest(range({rounds})) AS round FROM bd WHERE d IS NOT NULL))),
+bm AS (SELECT sum(w * d) / sum(w) AS m FROM bw WHERE w > 0 GROUP BY round), bb AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg((m <= 0)::INT) AS p FROM bm)"""
+
+
+@query("evl_18_bootstrap", f"WITH {metrics('b_pred', 'b_test', '10, 50')}, {bootstrap_sql('SELECT user_id AS key, max(ndcg) FILTER (k = 50) - max(ndcg) FILTER (k = 10) AS d FROM pu GROUP BY user_id', 100, 0)} SELECT (SELECT count(*) FROM bd) AS n, round((SELECT avg(d) FROM bd), 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p FROM bb")
 def _(t):
     a = evaluate.per_user(t.pred, t.test, [10, 50]).groupBy("user_id").pivot("k", [10, 50]).agg(F.first("ndcg"))
-    return stats.bootstrap(a.select(F.col("user_id").alias("key"), (F.col("50") - F.col("10")).alias("d")))
+    b = stats.bootstrap(staged(a.select(F.col("user_id").alias("key"), (F.col("50") - F.col("10")).alias("d")), "differences"), rounds=100)
+    return b.select("n", *(r6(c).alias(c) for c in ("mean", "lo", "hi", "p")))
 
 
 @query("evl_19_recovery_rate", "WITH r AS (SELECT event_type, avg(value) AS m, max(value) AS oracle, min(value) AS base FROM events GROUP BY event_type) SELECT event_type, round(CASE WHEN abs(oracle - base) < 1e-12 THEN NULL ELSE (m - base) / (oracle - base) END, 6) AS rate FROM r")
@@ -204,11 +213,18 @@ def _(t):
     return d.groupBy("condition", "metric").agg((F.count_distinct("s") == 1).alias("agree"))
 
 
-@query("evl_25_curve_comparison")
+CURVES = "c AS (SELECT user_id, unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS lam, avg(value) FILTER (event_type = 'view') AS a, avg(value) FILTER (event_type = 'click') AS b FROM events GROUP BY user_id HAVING a IS NOT NULL AND b IS NOT NULL), v AS (SELECT user_id, lam, a - lam * b AS x, b - lam * a AS y FROM c)"
+
+
+@query("evl_25_curve_comparison", f"""WITH {CURVES}, w AS (SELECT lam, x - y AS d, round, {poisson_sql(uniform_sql("user_id || '/' || lam, round", 0))} AS w FROM (SELECT *, unnest(range(50)) AS round FROM v)),
+m AS (SELECT lam, round, sum(w * d) / sum(w) AS m FROM w WHERE w > 0 GROUP BY lam, round), q AS (SELECT lam, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY lam)
+SELECT lam, round(avg(x), 6) AS a, round(avg(y), 6) AS b, round(max(x) - min(x), 6) AS spread_a, round(max(y) - min(y), 6) AS spread_b, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi FROM v JOIN q USING (lam) GROUP BY lam""")
 def _(t):
-    spread = runs(t).groupBy("metric", "condition").agg((F.max("value") - F.min("value")).alias("spread"), F.avg("value").alias("mean"))
-    d = runs(t).groupBy("metric", "seed").pivot("condition", ["view", "click"]).agg(F.first("value")).select(F.col("seed").alias("key"), (F.col("view") - F.col("click")).alias("d"))
-    return spread.crossJoin(stats.bootstrap(d).select("lo", "hi"))
+    mean = lambda c: F.avg(F.when(F.col("event_type") == c, F.col("value")))
+    c = t.events.groupBy("user_id").agg(mean("view").alias("a"), mean("click").alias("b")).where("a is not null and b is not null")
+    v = c.select("user_id", "a", "b", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("lam")).select("user_id", "lam", (F.col("a") - F.col("lam") * F.col("b")).alias("x"), (F.col("b") - F.col("lam") * F.col("a")).alias("y"))
+    out = stats.compare_curves(v, "lam", "x", "y", F.concat_ws("/", "user_id", "lam"), rounds=50)
+    return out.select("lam", *(r6(c).alias(c) for c in ("a", "b", "spread_a", "spread_b", "lo", "hi")))
 
 
 @query("evl_26_gates", "WITH v AS (SELECT event_type, avg(value) AS v FROM events GROUP BY event_type), t(event_type, target, warn, fail) AS (VALUES ('click', 10.0::DOUBLE, 0.05::DOUBLE, 0.2::DOUBLE), ('view', 10.0, 5.0, 6.0), ('error', 10.0, NULL, NULL), ('signup', NULL, 0.1, 0.2)) SELECT event_type, CASE WHEN v IS NULL OR target IS NULL THEN 'SKIP' WHEN warn IS NULL THEN 'REPORT' WHEN abs(v - target) / greatest(abs(target), 1e-9) <= warn THEN 'PASS' WHEN abs(v - target) / greatest(abs(target), 1e-9) <= fail THEN 'WARN' ELSE 'FAIL' END AS gate FROM v LEFT JOIN t USING (event_type)")
@@ -292,11 +308,13 @@ def _(t):
     return generate.simulate(t.emb.select(F.col("item_id").alias("user_id"), "e"), t.emb.select("item_id", "e"), per_user=5, rounds=2)
 
 
-@query("gen_06_activity_spans")
+@query("gen_06_activity_spans", f"""WITH u AS (SELECT c_custkey AS user_id, {uniform_sql('c_custkey', 0)} * 365.0::DOUBLE AS start, {uniform_sql('c_custkey', 1)} AS u1, exp(1.5 + 1.0 * sqrt(-2 * ln({uniform_sql('c_custkey', 2)})) * cos(2 * 3.141592653589793::DOUBLE * {uniform_sql('c_custkey', 3)})) AS w FROM customer)
+SELECT user_id, round(start, 6) AS start, round(start + u1 * (365.0::DOUBLE - start), 6) AS stop, greatest(1, round(w * 20000 / (SELECT sum(w) FROM u)))::BIGINT AS n FROM u""")
 def _(t):
     from larkmill.operators import generate
 
-    return generate.spans(t.customer.select(F.col("c_custkey").alias("user_id")), 20_000)
+    made = generate.spans(t.customer.select(F.col("c_custkey").alias("user_id")), 20_000)
+    return made.select("user_id", r6("start").alias("start"), r6("stop").alias("stop"), "n")
 
 
 @query("gen_07_blind_sheet", "WITH s AS (SELECT p_partkey AS id, 'part' AS source FROM part UNION ALL SELECT c_custkey, 'customer' FROM customer), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(concat(id, '|b')), id) <= 30) SELECT row_number() OVER (ORDER BY md5(concat(source || id, '|p')), id) AS sheet, id, source FROM k")
@@ -306,7 +324,7 @@ def _(t):
     return k.select(F.row_number().over(Window.orderBy(hash_order(F.concat("source", F.col("id").cast("string")), "p"), "id")).cast("bigint").alias("sheet"), "id", "source")
 
 
-@query("gen_08_parameter_grid")
+@query("gen_08_parameter_grid", f"SELECT temperature, gamma, arg_max(item_id, ln(1 + cnt) * gamma - ln(-ln({uniform_sql('item_id, temperature', 4)})) * temperature) AS winner FROM b_counts, (SELECT unnest([0.15, 0.25]::DOUBLE[]) AS temperature) a, (SELECT unnest([0.0, 0.1]::DOUBLE[]) AS gamma) b GROUP BY temperature, gamma")
 def _(t):
     grid = t.spark.createDataFrame([(a, b) for a in (0.15, 0.25) for b in (0.0, 0.1)], "temperature double, gamma double")
     score = F.log1p("cnt") * F.col("gamma") + ranking.gumbel(ranking.uniform("item_id", "temperature", seed=4)) * F.col("temperature")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkmill.operators import cluster, graph, match, ranking, recommend, sequence, vector
+from larkmill.functions.chance import normal_sql
+from larkmill.operators import cluster, generate, graph, match, recommend, sequence, vector
 from larkmill.operators.ranking import hash_order, top_k
 
 from .base import query
@@ -15,9 +16,9 @@ from .statistics import NMEAN, r6
 LABELS = f"SELECT item_id, CASE WHEN r < floor(n * 0.2) THEN 'head' WHEN r >= floor(n * 0.8) THEN 'tail' ELSE 'mid' END AS label FROM ({RANKED})"
 
 
-def four(df):
-    """First four dimensions, long and rounded."""
-    return df.select("item_id", F.posexplode(F.slice("e", 1, 4)).alias("d", "x")).select("item_id", F.col("d").cast("bigint").alias("d"), r6("x").alias("x"))
+def long(df):
+    """All dimensions, a row for each, rounded."""
+    return df.select("item_id", F.posexplode("e").alias("d", "x")).select("item_id", F.col("d").cast("bigint").alias("d"), r6("x").alias("x"))
 
 
 @query("grf_01_typed_graph", "SELECT src, dst, relation FROM b_edges WHERE dst IN (SELECT item_id FROM b_emb)")
@@ -35,22 +36,22 @@ def _(t):
     return graph.reweighted(t.wedges, sequence.head_mid_tail(t.counts)).select("src", "dst", r6("w").alias("w"))
 
 
-@query("grf_04_blend", f"WITH m AS ({NMEAN}), x AS (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb) SELECT x.item_id, x.d, round(CASE WHEN m IS NULL THEN v ELSE 0.7 * v + 0.3 * m END, 6) AS x FROM x LEFT JOIN m ON m.item_id = x.item_id AND m.d = x.d WHERE x.d < 4")
+@query("grf_04_blend", f"WITH m AS ({NMEAN}), x AS (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb) SELECT x.item_id, x.d, round(CASE WHEN m IS NULL THEN v ELSE 0.7 * v + 0.3 * m END, 6) AS x FROM x LEFT JOIN m ON m.item_id = x.item_id AND m.d = x.d")
 def _(t):
-    return four(graph.blend(t.emb, t.wedges, 0.3))
+    return long(graph.blend(t.emb, t.wedges, 0.3))
 
 
 INJECT = f"m AS ({NMEAN}), x AS (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb), n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM x GROUP BY item_id), p AS (SELECT x.item_id, sum(m * v) / any_value(n) AS p FROM x JOIN m ON m.item_id = x.item_id AND m.d = x.d JOIN n ON n.item_id = x.item_id GROUP BY x.item_id), s AS (SELECT x.item_id, x.d, x.v, m.m - p * v / n AS s, n FROM x JOIN n ON n.item_id = x.item_id LEFT JOIN m ON m.item_id = x.item_id AND m.d = x.d LEFT JOIN p ON p.item_id = x.item_id), k AS (SELECT item_id, sqrt(sum(s * s)) AS k FROM s GROUP BY item_id)"
 
 
-@query("grf_05_injection", f"WITH {INJECT} SELECT s.item_id, d, round(CASE WHEN n >= 1e-12 AND k >= 1e-12 THEN v + 0.3 * n * s / k ELSE v END, 6) AS x FROM s JOIN k ON k.item_id = s.item_id WHERE d < 4")
+@query("grf_05_injection", f"WITH {INJECT} SELECT s.item_id, d, round(CASE WHEN n >= 1e-12 AND k >= 1e-12 THEN v + 0.3 * n * s / k ELSE v END, 6) AS x FROM s JOIN k ON k.item_id = s.item_id")
 def _(t):
-    return four(graph.inject(t.emb.select("item_id", "e"), t.wedges, 0.3))
+    return long(graph.inject(t.emb.select("item_id", "e"), t.wedges, 0.3))
 
 
-@query("grf_06_centred", "WITH x AS (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb) SELECT item_id, d, round(v - avg(v) OVER (PARTITION BY d), 6) AS x FROM x WHERE d < 4")
+@query("grf_06_centred", "WITH x AS (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb) SELECT item_id, d, round(v - avg(v) OVER (PARTITION BY d), 6) AS x FROM x")
 def _(t):
-    return four(vector.centred(t.emb))
+    return long(vector.centred(t.emb))
 
 
 @query("grf_07_co_occurrence", "WITH a AS (SELECT item_id AS src, lead(item_id) OVER (PARTITION BY user_id ORDER BY pos) AS dst FROM b_seq), u AS (SELECT * FROM a WHERE src <> dst UNION ALL SELECT dst, src FROM a WHERE src <> dst) SELECT src, dst, count(*) AS n FROM u GROUP BY ALL")
@@ -146,11 +147,11 @@ def _(t):
     return vector.residual_codes(t.emb.select("item_id", "e"), t.codebook, 1).groupBy("c1").agg(F.count("*").alias("n"))
 
 
-@query("vec_12_reconstruction", "WITH x AS (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb) SELECT x.item_id, d, round(v - avg(v) OVER (PARTITION BY c1, d), 6) AS x FROM x JOIN b_sid USING (item_id) WHERE d < 4")
+@query("vec_12_reconstruction", "WITH x AS (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb) SELECT x.item_id, d, round(v - avg(v) OVER (PARTITION BY c1, d), 6) AS x FROM x JOIN b_sid USING (item_id)")
 def _(t):
     joined = t.emb.join(t.sid.select("item_id", "c1"), "item_id")
-    means = vector.group_mean(joined, ["c1"], "e")
-    return four(joined.join(means, "c1").select("item_id", vector.minus(F.col("e"), F.col("mean")).alias("e")))
+    means = vector.group_mean(joined, ["c1"], "e", width=vector.width_of(t.emb, "e"))
+    return long(joined.join(means, "c1").select("item_id", vector.minus(F.col("e"), F.col("mean")).alias("e")))
 
 
 @query("vec_13_token_popularity", "SELECT c1::INT AS token, sum(cnt)::BIGINT AS pop, count(*) AS n FROM b_sid JOIN b_counts USING (item_id) GROUP BY c1")
@@ -214,7 +215,7 @@ SIMS = "WITH h AS (SELECT DISTINCT user_id, item_id FROM b_train), n AS (SELECT
 
 @query("vec_22_item_knn", f"{SIMS} SELECT h.user_id, j AS item_id, sum(round(sim * 1e9)::BIGINT)::DOUBLE / 1e9 AS score FROM h JOIN k ON k.i = h.item_id WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.user_id = h.user_id AND o.item_id = j) GROUP BY h.user_id, j QUALIFY row_number() OVER (PARTITION BY h.user_id ORDER BY sum(round(sim * 1e9)::BIGINT) DESC, j) <= 10")
 def _(t):
-    return recommend.item_knn(t.train, recommend.item_similarities(t.train), 10).select("user_id", "item_id", "score")
+    return recommend.item_knn(t.train, recommend.neighbour_lists(t.train), 10).select("user_id", "item_id", "score")
 
 
 @query("vec_23_ease")
@@ -283,8 +284,6 @@ def _(t):
     return t.spark.createDataFrame([(len(sizes), min(sizes), max(sizes), sum(s > min(sizes) for s in sizes))], "tables bigint, least bigint, most bigint, larger bigint")
 
 
-@query("gen_03_noisy_vectors")
+@query("gen_03_noisy_vectors", f"WITH x AS (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb) SELECT item_id, d, round(greatest(-0.3, least(0.3, (v + 0.1 * {normal_sql('item_id, d', 1)}) * (0.88 + 0.012 * (item_id % 26)::DOUBLE))), 6) AS x FROM x")
 def _(t):
-    u, v = ranking.uniform("item_id", seed=1), ranking.uniform("item_id", seed=2)
-    noise = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v)
-    return t.emb.select("item_id", F.transform("e", lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x + 0.1 * noise))).alias("e"))
+    return long(generate.noisy_vectors(t.emb.select("item_id", "e"), 0.1, (F.col("item_id") % 26).cast("double"), -0.3, 0.3, seed=1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, flows, models, sequences, statistics, tables  # noqa: F401
+from . import evaluation, extensions, flows, models, sequences, statistics, tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkmill.functions import codes
+from larkmill.functions.chance import uniform, uniform_sql
 from larkmill.operators import joins, sequence, vector
 from larkmill.operators.ranking import top_k
 
@@ -111,7 +112,7 @@ def _(t):
     return t.seq.where("n >= 4").select("user_id", "item_id", (F.col("pos") == F.col("n") - 1).alias("last"))
 
 
-@query("seq_18_subsequences", f"WITH h AS ({HIST}), l AS (SELECT user_id, list_slice(s, -12, -1) AS s FROM h), e AS (SELECT user_id, s, unnest(range(2, len(s) + 1)) AS stop FROM l WHERE len(s) >= 2), f AS (SELECT user_id, s, stop, unnest(range(1, stop)) AS start FROM e) SELECT user_id, start - 1 AS start, stop, list_slice(s, start, stop) AS part FROM f")
+@query("seq_18_subsequences", f"WITH h AS ({HIST}), e AS (SELECT user_id, s, unnest(range(2, len(s) + 1)) AS stop FROM h WHERE len(s) >= 2), f AS (SELECT user_id, s, stop, unnest(range(1, stop)) AS start FROM e) SELECT user_id, start - 1 AS start, stop, list_slice(s, start, stop) AS part FROM f")
 def _(t):
     made = sequence.subsequences(sequence.histories(t.seq))
     return made.select("user_id", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), "part")
@@ -133,18 +134,24 @@ def _(t):
     return hist(t).select("user_id", F.posexplode("s").alias("place", "item_id")).where("item_id <> 0").withColumn("place", F.col("place").cast("bigint"))
 
 
-@query("seq_22_token_masking")
+def masked_sql(rows, share, seed, span=1):
+    """Oracle of mask_tokens over rows (user_id, s)."""
+    return f"""WITH h AS ({rows}), v AS (SELECT user_id, s, list_transform(range(0, len(s)), lambda i: {uniform_sql(f'user_id, i // {span}', seed)}) AS us FROM h)
+SELECT user_id, list_transform(s, lambda x, i: CASE WHEN us[i] < {share} OR (i - 1) // {span} = (list_position(us, list_min(us)) - 1) // {span} THEN -1 ELSE x END) AS masked, s FROM v"""
+
+
+@query("seq_22_token_masking", masked_sql(HIST, "0.15::DOUBLE", 5))
 def _(t):
     return hist(t).select("user_id", codes.mask_tokens(F.col("s"), F.col("user_id"), 0.15, -1, 5).alias("masked"), "s")
 
 
-@query("seq_23_row_share_masking")
+@query("seq_23_row_share_masking", masked_sql(HIST, uniform_sql("user_id", 11), 6))
 def _(t):
-    u = F.pmod(F.xxhash64("user_id", F.lit(11)), F.lit(1000)) / 1000
+    u = uniform("user_id", seed=11)
     return hist(t).select("user_id", codes.mask_tokens(F.col("s"), F.col("user_id"), u, -1, 6).alias("masked"), "s")
 
 
-@query("seq_24_item_masking")
+@query("seq_24_item_masking", masked_sql("SELECT user_id, flatten(list([c1::BIGINT, c2::BIGINT, c3::BIGINT] ORDER BY pos)) AS s FROM b_seq JOIN b_sid USING (item_id) GROUP BY user_id", "0.3::DOUBLE", 8, 3))
 def _(t):
     q = joins.code_sequences(t.seq, t.sid, ["c1", "c2", "c3"]).select("user_id", F.col("codes").cast("array<bigint>").alias("s"))
     return q.select("user_id", codes.mask_tokens(F.col("s"), F.col("user_id"), 0.3, -1, 8, span=3).alias("masked"), "s")
@@ -222,9 +229,9 @@ def _(t):
     return pairs("s_nationkey", 1.0).union(pairs("level", 0.5)).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-@query("joi_10_token_overlap", "WITH k AS (SELECT DISTINCT conv_id, unnest(string_split(lower(substr(text, 1, 60)), ' ')) AS token FROM conversations WHERE role = 'system') SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS n FROM k x JOIN k y ON x.token = y.token AND x.conv_id < y.conv_id GROUP BY ALL")
+@query("joi_10_token_overlap", "WITH k AS (SELECT DISTINCT conv_id, unnest(string_split(lower(text), ' ')) AS token FROM conversations) SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS n FROM k x JOIN k y ON x.token = y.token AND x.conv_id < y.conv_id GROUP BY ALL")
 def _(t):
-    k = t.conversations.where("role = 'system'").select("conv_id", F.explode(F.split(F.lower(F.substring("text", 1, 60)), " ")).alias("token"))
+    k = t.conversations.select("conv_id", F.explode(F.split(F.lower("text"), " ")).alias("token"))
     return joins.shared_tokens(k, "conv_id")
 
 

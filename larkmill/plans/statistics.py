@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkmill.functions.chance import uniform_sql
 from larkmill.operators import ranking, sequence, stats, vector
 from larkmill.operators.ranking import top_k
 
@@ -88,18 +89,18 @@ def _(t):
 
 @query("agg_13_mean_vector", "SELECT d, round(avg(x), 6) AS mean FROM (SELECT unnest(e) AS x, unnest(range(64)) AS d FROM b_emb) GROUP BY d")
 def _(t):
-    m = vector.group_mean(t.emb.withColumn("g", F.lit(0)), ["g"], "e")
+    m = vector.group_mean(t.emb.withColumn("g", F.lit(0)), ["g"], "e", width=vector.width_of(t.emb, "e"))
     return m.select(F.posexplode("mean").alias("d", "m")).select(F.col("d").cast("bigint").alias("d"), r6("m").alias("mean"))
 
 
 NMEAN = "SELECT w.src AS item_id, d, sum(w.w * x.v) / sum(w.w) AS m FROM b_wedges w JOIN (SELECT item_id, unnest(e) AS v, unnest(range(64)) AS d FROM b_emb) x ON w.dst = x.item_id GROUP BY w.src, d"
 
 
-@query("agg_14_neighbour_means", f"SELECT item_id, d, round(m, 6) AS mean FROM ({NMEAN}) WHERE d < 4")
+@query("agg_14_neighbour_means", f"SELECT item_id, d, round(m, 6) AS mean FROM ({NMEAN})")
 def _(t):
     from larkmill.operators.graph import neighbour_means
 
-    return neighbour_means(t.wedges, t.emb).select("item_id", F.posexplode("mean").alias("d", "m")).where("d < 4").select("item_id", F.col("d").cast("bigint").alias("d"), r6("m").alias("mean"))
+    return neighbour_means(t.wedges, t.emb).select("item_id", F.posexplode("mean").alias("d", "m")).select("item_id", F.col("d").cast("bigint").alias("d"), r6("m").alias("mean"))
 
 
 @query("agg_15_code_entropy", "WITH l AS (SELECT 1 AS level, c1 AS code FROM b_sid UNION ALL SELECT 2, c2 FROM b_sid UNION ALL SELECT 3, c3 FROM b_sid), p AS (SELECT level, code, count(*) / sum(count(*)) OVER (PARTITION BY level) AS p FROM l GROUP BY level, code) SELECT level, count(*) AS used, round(-sum(p * log2(p)), 6) AS bits FROM p GROUP BY level")
@@ -159,7 +160,7 @@ def _(t):
 
 @query("agg_24_group_vectors", "SELECT label, d, round(avg(x), 6) AS mean FROM (SELECT label, unnest(e) AS x, unnest(range(64)) AS d FROM b_emb) GROUP BY label, d")
 def _(t):
-    return vector.group_mean(t.emb, ["label"], "e").select("label", F.posexplode("mean").alias("d", "m")).select("label", F.col("d").cast("bigint").alias("d"), r6("m").alias("mean"))
+    return vector.group_mean(t.emb, ["label"], "e", width=vector.width_of(t.emb, "e")).select("label", F.posexplode("mean").alias("d", "m")).select("label", F.col("d").cast("bigint").alias("d"), r6("m").alias("mean"))
 
 
 @query("agg_25_pca")
@@ -299,10 +300,10 @@ def _(t):
     return ranking.exposure_slots(t.pred, 5, 30)
 
 
-@query("rnk_17_gumbel_sample")
+@query("rnk_17_gumbel_sample", f"SELECT item_id, round(g, 6) AS g FROM (SELECT item_id, ln(cnt) - ln(-ln({uniform_sql('item_id', 3)})) AS g FROM b_counts WHERE cnt > 0) ORDER BY g DESC, item_id LIMIT 50")
 def _(t):
     u = ranking.uniform("item_id", seed=3)
-    return t.counts.where("cnt > 0").withColumn("g", F.log("cnt") + ranking.gumbel(u)).orderBy(F.desc("g"), "item_id").limit(50).select("item_id", "g")
+    return t.counts.where("cnt > 0").withColumn("g", F.log("cnt") + ranking.gumbel(u)).orderBy(F.desc("g"), "item_id").limit(50).select("item_id", r6("g").alias("g"))
 
 
 @query("set_01_union", "SELECT src, dst, relation FROM b_edges")

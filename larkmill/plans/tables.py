@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkmill.functions import codes, text
+from larkmill.functions.chance import uniform, uniform_sql
 from larkmill.operators import joins, sequence
+from larkmill.operators.ranking import hash_order
 from larkmill.sources import files
 
 from .base import Tables, query
@@ -56,9 +58,9 @@ def _(t):
     return sequence.snapshots(t.chunked).where("w = 4").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("src_21_hash_shuffle")
+@query("src_21_hash_shuffle", "SELECT event_id, md5(concat(event_id, '|7')) AS h FROM events")
 def _(t):
-    return t.events.select("event_id", F.xxhash64("event_id", F.lit(7)).alias("h")).orderBy("h", "event_id")
+    return t.events.select("event_id", hash_order("event_id", "7").alias("h")).orderBy("h", "event_id")
 
 
 @query("snk_02_item_text", "SELECT p_partkey AS item_id, CASE WHEN trim(t) = '' THEN 'item ' || p_partkey ELSE t END AS text FROM (SELECT p_partkey, CASE WHEN p_size = 1 THEN ' ' ELSE p_name END AS t FROM part)")
@@ -263,10 +265,10 @@ def _(t):
     return t.nation.select("n_nationkey", F.startswith(F.lower(F.trim("n_name")), F.lit("nation_1")).alias("flag"))
 
 
-@query("prj_32_templates")
+@query("prj_32_templates", f"SELECT p_partkey, CASE floor(3 * {uniform_sql('p_partkey', 3)})::INT WHEN 0 THEN p_name || ', brand ' || p_brand WHEN 1 THEN p_name || ' of type ' || p_type ELSE 'size ' || p_size || ' ' || p_name END AS text FROM part")
 def _(t):
     forms = F.array(F.format_string("%s, brand %s", "p_name", "p_brand"), F.format_string("%s of type %s", "p_name", "p_type"), F.format_string("size %d %s", "p_size", "p_name"))
-    return t.part.select("p_partkey", forms[F.pmod(F.xxhash64("p_partkey", F.lit(3)), F.lit(3)).cast("int")].alias("text"))
+    return t.part.select("p_partkey", forms[F.floor(3 * uniform("p_partkey", seed=3)).cast("int")].alias("text"))
 
 
 @query("prj_33_join_and", "SELECT r_regionkey, CASE len(l) WHEN 0 THEN '' WHEN 1 THEN l[1] ELSE array_to_string(l[1:-2], ', ') || ' and ' || l[-1] END AS names FROM (SELECT r_regionkey, coalesce(list(n_name ORDER BY n_name) FILTER (n_name IS NOT NULL), []) AS l FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey)")
