@@ -241,10 +241,10 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     first = signed.groupBy("copy").agg(F.min("id").alias("rep"))
     members = staged(signed.select("id", "copy").join(first, "copy").select("id", "rep"), "members")
     alone = signed.join(first.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    banded = alone.select("id", F.explode("keys").alias("key"))
+    banded = alone.select("id", "bytes", F.explode("keys").alias("key"))
     order = F.struct(F.xxhash64("id", "key"), "id")
-    buckets = staged(banded.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["id"].alias("hub"), F.max(order)["id"].alias("hub2")).where("n > 1"), "buckets")
-    inside = staged(banded.join(buckets, "key"), "inside")
+    buckets = staged(banded.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["id"].alias("hub"), F.max(order)["id"].alias("hub2"), F.sum("bytes").alias("bytes")).where("n > 1"), "buckets")
+    inside = staged(banded.drop("bytes").join(buckets, "key"), "inside")
     stars = F.filter(F.array(F.struct("hub", "id", "n"), F.struct(F.when(F.col("id") != F.col("hub"), F.col("hub2")).alias("hub"), "id", "n")), lambda x: x["hub"] != x["id"])
     pairs = staged(inside.select(F.explode(stars).alias("x")).groupBy("x.hub", "x.id").agg(F.count("*").alias("shared"), F.max("x.n").alias("n")), "pairs")
     # texts of documents that stand in any bucket
@@ -258,12 +258,14 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     links = links.union(staged(_verified(rest, texts), "links"))
     groups = staged(components(links), "groups")
     # buckets of four or more that still hold several groups: compare blocks of members over signatures
-    labelled = inside.where("n > 3").select("key", "n", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    labelled = inside.where("n > 3").select("key", "id", count).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("g1"), F.max("component").alias("g2")).where("g1 <> g2").select("key")
-    held = staged(labelled.join(mixed, "key").join(alone.select("id", "sig", "keys", "bytes"), "id"), "mixed")
-    sizes = held.groupBy("key").agg(F.ceil(F.greatest(F.max("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    mixed = staged(labelled.join(mixed, "key"), "mixed")
+    # what a member brings along is put together once for all of its buckets
+    brought = texts.join(mixed.select("id").distinct(), "id").join(alone.select("id", "sig", "keys"), "id")
     member = F.struct("id", "component", "sig", "keys", "text")
-    blocks = held.join(sizes, "key").join(texts, "id").groupBy("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(member).alias("members"))
+    blocks = mixed.join(brought, "id").groupBy("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).agg(F.array_sort(F.collect_list(member)).alias("members"))
     blocks = staged(blocks, "blocks")
     parts = F.ceil(F.col("blocks") / BLOCKS).cast("int")
     left = blocks.select("key", F.col("block").alias("i"), F.pmod("block", parts).alias("part"), F.col("members").alias("l"))
