@@ -19,6 +19,7 @@ from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import KEPT, lean, light, table
 
@@ -186,36 +187,39 @@ def read_vocabulary(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode_documents(documents: DataFrame, path: str | None = None, ids: bool = True, decoded: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, n_tokens, ids_sha256, decoded_sha256 and, where asked for, token_ids array<int> and decoded string.
+def encode_documents(documents: DataFrame, path: str | None = None, ids: bool = True, decoded: bool = True, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, where asked for, token_ids array<int> and decoded string; then the
+    columns of keep as they are.
 
-    Null texts count as empty, which have no tokens. Repeated rows give a row each. Other columns are not read.
+    Null texts count as empty, which have no tokens. Repeated rows give a row each, rows of a null id too. Other columns are not
+    read; a column of keep must not have the name of a result.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    source = lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *keep)
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids + ", decoded string" * decoded
+    schema = StructType([*StructType.fromDDL(schema).fields, *source.schema.fields[2:]])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         bpe = loaded(shared.value)
+        kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids + [pa.string()] * decoded
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids + ["decoded"] * decoded + list(keep)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(keys), 500):
-                out = []
-                for k, t in zip(keys[lo : lo + 500], texts.slice(lo, 500).to_pylist(), strict=True):
+            for lo in range(0, batch.num_rows, 500):
+                part, out = batch.slice(lo, 500), []
+                for t in part.column(1).to_pylist():
                     found = bpe.pieces(t or "")
                     raw = b"".join([x[0] for x in found])
                     joined = " ".join([x[1] for x in found if x[1]])
-                    row = [k, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(joined.encode()).hexdigest()]
+                    row = [len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(joined.encode()).hexdigest()]
                     out.append(row + [np.frombuffer(raw, "<u4").astype(np.int32)] * ids + [joined] * decoded)
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids + [pa.string()] * decoded
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids + ["decoded"] * decoded
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made, *part.columns[2:]], names)
 
-    return lean(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(light(run, "bpe"), schema)
+    return source.mapInArrow(light(run, "bpe"), schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ REPEAT_PERCENT = 20
 
 #: Share of a group's rows that concentration steps keep.
 SHARE = 0.75
-STEPS = 4
+#: Concentration steps at most, and the fall of a group's log-determinant below which they end.
+STEPS, STILL = 30, 1e-3
 #: Rejected beyond this squared distance: far outside what a heavy-tailed group of sound rows shows (chi-square 0.999 is 18.5).
 CUTOFF = 60.0
 #: Groups of fewer rows are judged by their language's estimate, languages of fewer by that of all rows.
@@ -117,17 +118,26 @@ def _few(groups: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Per key column g of rows (g, y0 ..): n, m*, l* of the reweighted minimum-covariance-determinant estimate."""
+    """Per key column g of rows (g, y0 ..): n, m*, l* of the reweighted minimum-covariance-determinant estimate.
+
+    Concentration steps end when no group's determinant falls any more. Medians and the edge of the kept share are quantile
+    sketches of 1 in 10,000; how rows are partitioned can move an edge by that much, and with it a row at the border.
+    """
     medians = rows.groupBy("g").agg(*(F.percentile_approx(f"y{i}", 0.5, 10000).alias(f"m{i}") for i in range(P)))
     spread = rows.join(_few(staged(medians, "mcd")), "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(f"y{i}") - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i in range(P)), *(F.first(m).alias(m) for m in _MEANS))
     diagonal = [F.pow(F.col(f"a{i}") * 1.4826, 2).alias(f"c{i}{j}") if i == j else F.lit(0.0).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
     first = spread.select("g", F.lit(0).alias("start"), *_MEANS, *diagonal).union(rows.groupBy("g").agg(*_moments()).select("g", F.lit(1).alias("start"), *_MEANS, *_COVS))
-    now = staged(first, "mcd")
+    now, det = staged(first, "mcd"), None
     for _ in range(steps):
         measured = rows.join(_factored(_few(now), 1.0), "g").select("g", "start", *(f"y{i}" for i in range(P)), _distance().alias("d"))
         edge = staged(measured.groupBy("g", "start").agg(F.percentile_approx("d", SHARE, 10000).alias("edge")), "mcd")
         inner = measured.join(_few(edge), ["g", "start"]).where("d <= edge")
         now = staged(inner.groupBy("g", "start").agg(*_moments()).select("g", "start", *_MEANS, *_COVS), "mcd")
+        before, det = det, _factored(now, 1.0).select("g", "start", "det")
+        if before is not None:
+            fall = before.withColumnRenamed("det", "was").join(det, ["g", "start"]).agg(F.max(F.col("was") - F.col("det"))).first()[0]
+            if fall is None or fall < STILL:
+                break
     ranked = _factored(now, _factor(SHARE))
     best = ranked.groupBy("g").agg(F.min_by(F.struct(*_MEANS, *(f"l{i}{j}" for i in range(P) for j in range(i + 1))), F.struct("det", "start")).alias("b")).select("g", "b.*")
     weighed = rows.join(_few(staged(best, "mcd")), "g").where(_distance() <= _quantile(0.975, P)).select("g", *(f"y{i}" for i in range(P)))

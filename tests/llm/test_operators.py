@@ -180,6 +180,25 @@ def test_estimates_withstand_a_fifth_of_outliers(spark):
     assert judged.where("d > 60 and y1 > 3").count() == 200 and judged.where("d > 60 and y1 < 3").count() == 0
 
 
+def test_estimates_like_plain_search(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack((rng.multivariate_normal([0.5, 1, 0, 2], np.diag([0.09, 0.04, 0.16, 0.09]) + 0.02, 340), rng.normal([3, 3, 3, 3], 0.3, (60, 4))))
+    h, best = 300, None
+    for _ in range(60):  # random starts of five rows, concentration to the end, least determinant
+        kept = rng.choice(400, 5, replace=False)
+        for _ in range(40):
+            m, c = x[kept].mean(0), np.cov(x[kept].T, bias=True) + np.diag(np.square(quality.FLOORS))
+            kept = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))[:h]
+        c = np.cov(x[kept].T, bias=True) + np.diag(np.square(quality.FLOORS))
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = (np.linalg.slogdet(c)[1], x[kept].mean(0), np.cov(x[kept].T, bias=True) * quality._factor(0.75) + np.diag(np.square(quality.FLOORS)))
+    near = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1]) <= quality._quantile(0.975, 4)
+    m, c = x[near].mean(0), np.cov(x[near].T, bias=True) * quality._factor(0.975) + np.diag(np.square(quality.FLOORS))
+    e = quality.estimates(spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, y0 double, y1 double, y2 double, y3 double").repartition(4)).first()
+    low = np.array([[e[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+    assert np.allclose([e[f"m{i}"] for i in range(4)], m, atol=0.02) and np.allclose(low @ low.T, c, atol=0.02)
+
+
 def test_rare_languages_are_judged(spark):
     rng = random.Random(6)
     text = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
