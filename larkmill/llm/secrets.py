@@ -38,10 +38,11 @@ NEAR = 40
 # Words around keys, words around what only looks like one, and dictionary words.
 KEY_WORDS = f"(?i)({_NAMES}|key|aws|akia|ghp|login)"
 OTHER_WORDS = "(?i)(commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|etag|revision|integrity|id|card|isbn|order|image|base64|href|src|url|http|version|build|phone)"
+PREFIX = "^(AKIA|ASIA|AIza|ghp_|gho_|glpat-|sk_live_|xox[abp]-)"
 PLACEHOLDER = "(?i)(example|sample|your|dummy|changeme|placeholder|xxxx|test|todo|redacted|secret_here)"
 DICTIONARY = "account action address admin after application archive array auto base before block body book build button cache call card case category change channel check class client code color column comment common component config connection content context control copy core count create current custom data database date default delete detail device directory display document domain double down download edit element email enable error event example export feature field file filter first folder font form format forward frame from full function gallery general global graph group handler header height help hidden home host html icon image import index info input insert install integer item java javascript label language last layout left level library light line link list load local login long main manager master media member menu message method mobile mode model module month more name navigation network next node note number object offset open option order output package page panel parent password path payment people photo phone place player plugin point policy position post power price primary print private process product profile project property public query question queue random rate read record region release remote remove report request reset resource response"
 
-NAMES = ("length", "case_turns", "kind_turns", "digits", "uppers", "hex", "kinds", "covered", "vowels", "block", "key_before", "sign_before", "quoted", "other_before", "closed", "other_after", "key_after", "placeholder", "path_test", "path_code", "only_digits")
+NAMES = ("length", "case_turns", "kind_turns", "digits", "uppers", "hex", "kinds", "covered", "vowels", "block", "prefix", "key_before", "sign_before", "quoted", "other_before", "closed", "other_after", "key_after", "placeholder", "path_test", "path_code", "only_digits")
 
 
 def _marked(text: Column) -> Column:
@@ -83,7 +84,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
     path = F.coalesce(path, F.lit(""))
     made = [
         F.length(value), runs(F.regexp_replace(kinds, "[0-]", "")) / F.length(value), runs(kinds) / F.length(value), _share(value, "0-9"), _share(value, "A-Z"),
-        truth(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")), F.length(F.array_join(F.array_distinct(F.split(kinds, "")), "")), known / F.length(value), _share(value, "aeiouAEIOU"), truth(F.startswith(value, F.lit("-----BEGIN "))),
+        truth(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")), F.length(F.array_join(F.array_distinct(F.split(kinds, "")), "")), known / F.length(value), _share(value, "aeiouAEIOU"), truth(F.startswith(value, F.lit("-----BEGIN "))), truth(value.rlike(PREFIX)),
         truth(before.rlike(KEY_WORDS)), truth(before.rlike("[:=]\\s*[\"']?$")), truth(before.rlike("[\"']$")), truth(before.rlike(OTHER_WORDS)), truth(after.rlike("^[\"']")), truth(after.rlike(OTHER_WORDS)), truth(after.rlike(KEY_WORDS)),
         truth(value.rlike(PLACEHOLDER)), truth(path.rlike("(?i)(test|example|mock|fixture|doc)")), truth(path.rlike("(?i)\\.(py|js|java|go|env|ya?ml|json|conf|ini)$")), truth(value.rlike("^[0-9]+$")),
     ]
@@ -97,6 +98,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) ->
     text = lambda salt, n: F.left(F.regexp_replace(F.base64(F.unhex(digest(salt))), "[+/=]", ""), F.lit(n))
     hexes = lambda salt, n: F.left(digest(salt), F.lit(n) if isinstance(n, int) else n)
     pick = lambda salt, *options: F.element_at(F.array(*(o if isinstance(o, Column) else F.lit(o) for o in options)), r(salt, len(options)) + 1)
+    code = lambda salt, n: F.left(F.upper(F.regexp_replace(F.base64(F.unhex(digest(salt))), "[+/=01]", "")), F.lit(n))
     number = lambda salt, m: r(salt, m).cast("string")
     words = F.array(*map(F.lit, DICTIONARY.split()))
     word = lambda salt: F.element_at(words, r(salt, len(DICTIONARY.split())) + 1)
@@ -112,7 +114,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) ->
         "stem": F.concat(syllable("p5"), syllable("p6"), syllable("p7")), "digits": number("num", 10000), "sum": hexes("i", pick("l", F.lit(40), F.lit(32), F.lit(64))),
         "w1": word("w1"), "w2": word("w2"), "w3": word("w3"), "joint": pick("j", "-", "_", "/", ""), "letters": letters,
         "other": pick("o", "commit ", "sha256: ", "sha1=", "md5 ", "checksum: ", "digest ", "uuid ", "id: ", 'id="', 'etag: "', "revision ", "integrity="),
-        "shaped": F.concat(pick("p", "AKIA", "ghp_", "sk_live_", "xoxb-", "AIza"), text("e", 30)), "hexed": hexes("a", 64), "mixed": text("b", 40),
+        "shaped": pick("p", F.concat(pick("p1", "AKIA", "AKIA", "ASIA"), code("e", 16)), F.concat(pick("p2", "ghp_", "gho_"), text("e", 36)), F.concat(F.lit("sk_live_"), text("e", 24)), F.concat(F.lit("AIza"), text("e", 35)), F.concat(F.lit("xoxb-"), text("e", 30))), "code": code("z", 20), "hexed": hexes("a", 64), "mixed": text("b", 40),
     }
     # half of the findings come with a path; keys stand in sources and settings more often, others in tests and documents
     path = F.when(r("has", 2) > 0, F.lit("")).when((F.col("secret") == 1) != (r("odd", 12) == 0), pick("path", "src/app.py", "config/prod.env", "web/site.js", "deploy/values.yaml")).otherwise(pick("path2", "docs/readme.md", "tests/test_app.py", "examples/demo.txt", "fixtures/a.json"))
@@ -129,13 +131,14 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) ->
     uuid = F.regexp_replace(hexes("u", 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
     cased = lambda salt, x: pick(salt, x, F.initcap(x), F.initcap(x), F.upper(x))
     said = pick("o2", " is the checksum", " (sha1)", " is the commit", " as digest", " of the image")
-    positive = pick("shape", finding(c["shaped"], c["filler"]), finding(key, named, closed), finding(key, named, closed), finding(key, join(c["filler"], c["name"], c["bare"])), finding(phrase, named, closed), finding(join(phrase, F.left("digits", F.lit(1))), join(c["filler"], c["name"], c["bare"])), finding(block, join(c["filler"], pick("b7", F.lit(""), F.lit(""), join(c["name"], c["bare"])))), finding(block, c["filler"], F.lit("")), finding(block, named, F.lit("")))
+    positive = pick("shape", finding(c["shaped"], c["filler"]), finding(c["shaped"], c["filler"]), finding(c["shaped"], F.lit("")), finding(key, named, closed), finding(key, named, closed), finding(key, join(c["filler"], c["name"], c["bare"])), finding(phrase, named, closed), finding(join(phrase, F.left("digits", F.lit(1))), join(c["filler"], c["name"], c["bare"])), finding(block, join(c["filler"], pick("b7", F.lit(""), F.lit(""), join(c["name"], c["bare"])))), finding(block, c["filler"], F.lit("")), finding(block, named, F.lit("")))
     negative = pick(
         "q",
         finding(numbers, join(c["filler"], pick("c", "", "card ", "", "of ", "number ", "the "))),
         finding(c["sum"], join(c["filler"], c["other"])),
         finding(c["sum"], c["filler"], said),
         finding(uuid, join(c["filler"], c["other"])),
+        finding(F.left("code", 16 + r("cl", 5)), join(c["filler"], pick("co", "part ", "order ", "", "", "number ", "model "))),
         finding(compound, join(c["filler"], pick("t", F.lit(""), c["name"], c["other"], F.lit("class ")), pick("v", "", '="', " "))),
         finding(pick("h", "your_token_here_1", "xxxxxxxxxxxxxxxx0", "example-secret-123", "changeme12345678", "test_password_1234", "dummy-api-key-0000", "placeholder", "your-password"), named, closed),
         finding(join(c["w1"], "/", compound), join(c["filler"], pick("g", 'href="/', 'src="/', "http://host/", "path "))),
@@ -156,7 +159,7 @@ def train(spark: SparkSession, rows: DataFrame | None = None) -> list:
     rows = rows if rows is not None else labelled_findings(spark)
     made = rows.select("secret", *(c.alias(n) for n, c in zip(NAMES, features(F.col("value"), F.col("before"), F.col("after"), F.col("path")), strict=True))).coalesce(1)
     ready = VectorAssembler(inputCols=list(NAMES), outputCol="v").transform(made).select("secret", "v").cache()
-    model = RandomForestClassifier(featuresCol="v", labelCol="secret", numTrees=TREES, maxDepth=TREE_DEPTH, seed=11).fit(ready)
+    model = RandomForestClassifier(featuresCol="v", labelCol="secret", numTrees=TREES, maxDepth=TREE_DEPTH, featureSubsetStrategy="0.5", seed=11).fit(ready)
     ready.unpersist()
 
     def read(node):
