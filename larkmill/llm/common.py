@@ -94,6 +94,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark remove the shuffles of tables that nothing refers to any more; it notices when the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def free(df: DataFrame, name: str) -> str:
     """name, or with underscores where df has a column of that name."""
     taken = {c.lower() for c in df.columns}
