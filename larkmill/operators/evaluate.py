@@ -134,8 +134,16 @@ def beam_search(transitions: DataFrame, beams: int, levels: int, start: list[int
 
 
 def nearest_valid(codes: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame:
-    """codes with the item that agrees in most positions, the smallest id on ties. The catalog travels as one array."""
-    book = catalog.agg(F.array_sort(F.collect_list(F.struct("item_id", *columns))).alias("__b"))
-    score = lambda x: sum((F.when(x[c] == F.col(c), 1).otherwise(0) for c in columns), F.lit(0))
-    best = F.array_min(F.transform("__b", lambda x: F.struct((-score(x)).alias("s"), x["item_id"].alias("item_id"))))
-    return codes.crossJoin(F.broadcast(book)).select(*codes.columns, best["item_id"].alias("nearest"), (-best["s"]).alias("agree"))
+    """codes with the item that agrees in most positions, the smallest id on ties.
+
+    Every set of positions has a table of the smallest item for its codes; distinct code tuples meet these tables by an equi-join,
+    and the largest set with an item wins. Rows that agree nowhere get the smallest item of all.
+    """
+    masks = range(1, 1 << len(columns))
+    key = lambda m: F.concat_ws("-", *(F.col(c).cast("string") if m >> i & 1 else F.lit("*") for i, c in enumerate(columns)))
+    keyed = lambda df, *keep: df.select(*keep, F.explode(F.array(*(F.struct(F.lit(m.bit_count()).alias("__n"), key(m).alias("__key")) for m in masks))).alias("__x")).select(*keep, "__x.*")
+    book = keyed(catalog, "item_id").groupBy("__key").agg(F.min("item_id").alias("__item"))
+    best = keyed(codes.select(*columns).distinct(), *columns).join(book, "__key").groupBy(*columns).agg(F.min(F.struct((-F.col("__n")).alias("s"), "__item")).alias("__b"))
+    least = catalog.agg(F.min("item_id").alias("__least"))
+    joined = codes.join(best, columns, "left").crossJoin(F.broadcast(least))
+    return joined.select(*codes.columns, F.coalesce("__b.__item", "__least").alias("nearest"), F.coalesce(-F.col("__b.s"), F.lit(0)).alias("agree"))

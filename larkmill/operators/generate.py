@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larkmill.functions.chance import normal, uniform
 
 from .ranking import gumbel
+from .staging import staged
 from .vector import dot, unit
 
 
@@ -53,17 +54,28 @@ def spans(users: DataFrame, total: int, days: float = 365.0, mu: float = 1.5, si
     return rows.crossJoin(rows.agg(F.sum("w").alias("all"))).select("user_id", "start", "stop", F.greatest(F.lit(1), F.round(F.col("w") * total / F.col("all"))).cast("bigint").alias("n"))
 
 
-def simulate(users: DataFrame, items: DataFrame, per_user: int, rounds: int = 2, temperature: float = 0.25, gamma: float = 0.1, seed: int = 0) -> DataFrame:
-    """(user_id, item_id, round): items drawn by fit over temperature plus gamma * ln(1 + popularity) plus Gumbel noise.
+def simulate(users: DataFrame, items: DataFrame, per_user: int, rounds: int = 2, temperature: float = 0.25, gamma: float = 0.1, seed: int = 0, wanted: int = 0, blur: float = 0.0, delta: float = 0.0) -> DataFrame:
+    """(user_id, item_id, round): items drawn by fit over temperature plus gamma * ln(1 + popularity) plus delta * recency plus Gumbel
+    noise.
 
-    Popularity feeds back between rounds, not between users, so that rounds are parallel: an approximation of the sequential
-    simulation, exact with one user in each round.
+    users (user_id, e and, if items have days, stop), items (item_id, e and, if asked for, start): an item that starts after the
+    user's stop is not drawn, and recency is exp(-(stop - start) / 180). wanted: a user looks at their so many largest dimensions
+    only, 0 for all. blur: the fit is seen with normal noise of that size. Popularity feeds back between rounds, not between
+    users, so that rounds are parallel: an approximation of the sequential simulation, exact with one user in each round.
     """
-    book = items.agg(F.collect_list(F.struct("item_id", unit(F.col("e")).alias("v"))).alias("__b"))
-    fit = users.select("user_id", unit(F.col("e")).alias("q")).crossJoin(F.broadcast(book)).select("user_id", F.explode(F.transform("__b", lambda x: F.struct(x["item_id"].alias("item_id"), dot(x["v"], F.col("q")).alias("fit")))).alias("x")).select("user_id", "x.*")
+    timed = "start" in items.columns and "stop" in users.columns
+    size = F.size("e")
+    edge = F.element_at(F.array_sort("e"), F.greatest(F.lit(1), size - wanted + 1)) if wanted else F.array_min("e")
+    seen = users.withColumn("e", F.transform("e", lambda x: F.when(x >= edge, x).otherwise(0.0)))
+    book = items.agg(F.collect_list(F.struct("item_id", unit(F.col("e")).alias("v"), (F.col("start") if timed else F.lit(0.0)).cast("double").alias("start"))).alias("__b"))
+    looked = seen.select("user_id", unit(F.col("e")).alias("q"), (F.col("stop") if timed else F.lit(0.0)).cast("double").alias("stop")).crossJoin(F.broadcast(book))
+    fit = looked.select("user_id", "stop", F.explode(F.transform("__b", lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), dot(x["v"], F.col("q")).alias("fit")))).alias("x")).select("user_id", "stop", "x.*")
+    fit = fit.where("start <= stop").withColumn("recency", F.exp((F.col("start") - F.col("stop")) / 180.0))
+    if blur:
+        fit = fit.withColumn("fit", F.col("fit") + blur * normal("user_id", "item_id", seed=seed + 1000))
     done = None
     for k in range(rounds):
-        score = F.col("fit") / temperature
+        score = F.col("fit") / temperature + delta * F.col("recency")
         rows = fit
         if done is not None:
             pop = done.groupBy("item_id").agg(F.count("*").alias("pop"))
@@ -71,6 +83,6 @@ def simulate(users: DataFrame, items: DataFrame, per_user: int, rounds: int = 2,
             score = score + gamma * F.log1p(F.coalesce("pop", F.lit(0)))
         noise = gumbel(uniform("user_id", "item_id", seed=seed + k))
         picked = rows.withColumn("s", score + noise).withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("s"), "item_id"))).where(F.col("r") <= per_user).select("user_id", "item_id", F.lit(k).alias("round"))
+        picked = staged(picked, "picked")
         done = picked if done is None else done.union(picked)
-        done = done.persist()
     return done

@@ -53,23 +53,26 @@ def rerank_exposure(ranked: DataFrame, mu: float, slots: int = 20, shards: int =
     return keyed.groupBy("shard").applyInPandas(run, "user_id bigint, item_id bigint, rank bigint")
 
 
-def exposure_slots(ranked: DataFrame, k: int, cap: int) -> DataFrame:
-    """Greedy lists in ascending user order in which no item is placed more than cap times; the rest of the slots stay empty."""
+def exposure_slots(ranked: DataFrame, k: int, cap: int, explore: int = 0) -> DataFrame:
+    """(user_id, item_id, slot, explored): greedy lists in ascending user order in which no item is placed more than cap times: the k
+    best, then `explore` of the others that were shown least, the better rank first among equals. Slots stay empty without items.
+
+    Every user depends on all before: one group by nature.
+    """
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         used: dict[int, int] = {}
         out = []
         for user, part in rows.sort_values(["user_id", "rank"]).groupby("user_id", sort=True):
-            placed = 0
-            for item in part["item_id"]:
-                if placed < k and used.get(item, 0) < cap:
-                    used[item] = used.get(item, 0) + 1
-                    placed += 1
-                    out.append((user, item, placed))
-        return pd.DataFrame(out, columns=["user_id", "item_id", "slot"])
-
-    return ranked.withColumn("shard", F.lit(0)).groupBy("shard").applyInPandas(run, "user_id bigint, item_id bigint, slot bigint")
+            left = [x for x in part["item_id"] if used.get(x, 0) < cap]
+            shown = left[:k] + sorted(left[k:], key=lambda x: used.get(x, 0))[:explore]
+            for slot, item in enumerate(shown, 1):
+                used[item] = used.get(item, 0) + 1
+                out.append((user, item, slot, slot > k))
+        return pd.DataFrame(out, columns=["user_id", "item_id", "slot", "explored"])
+
+    return ranked.withColumn("shard", F.lit(0)).groupBy("shard").applyInPandas(run, "user_id bigint, item_id bigint, slot bigint, explored boolean")
 
 
 def pareto(points: DataFrame, x: str, y: str, key: str) -> DataFrame:

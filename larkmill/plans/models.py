@@ -231,11 +231,11 @@ def _(t):
     return recommend.content_knn(t.etrain, t.emb, 5).select("user_id", "item_id", r6("score").alias("score"))
 
 
-@query("vec_25_seek_profiles", f"WITH {CONTENT} SELECT user_id, round(v[1], 6) AS x, round(v[64], 6) AS y FROM w")
+@query("vec_25_seek_profiles", f"WITH {CONTENT} SELECT user_id, d, round(x, 6) AS x FROM (SELECT user_id, unnest(v) AS x, unnest(range(64)) AS d FROM w)")
 def _(t):
     units = t.emb.select("item_id", vector.unit(F.col("e")).alias("u"))
     p = vector.group_mean(t.etrain.select("user_id", "item_id").distinct().join(units, "item_id"), ["user_id"], "u").select("user_id", vector.unit(F.col("mean")).alias("v"))
-    return p.select("user_id", r6(F.col("v")[0]).alias("x"), r6(F.col("v")[63]).alias("y"))
+    return p.select("user_id", F.posexplode("v").alias("d", "x")).select("user_id", F.col("d").cast("bigint").alias("d"), r6("x").alias("x"))
 
 
 @query("vec_26_neighbour_table", f"{KNN} SELECT item_id, nbr, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, nbr) AS rank FROM p QUALIFY rank <= 5")

@@ -297,7 +297,7 @@ def _(t):
 
 @query("rnk_16_capped_slots")
 def _(t):
-    return ranking.exposure_slots(t.pred, 5, 30)
+    return ranking.exposure_slots(t.pred, 5, 30, explore=2)
 
 
 @query("rnk_17_gumbel_sample", f"SELECT item_id, round(g, 6) AS g FROM (SELECT item_id, ln(cnt) - ln(-ln({uniform_sql('item_id', 3)})) AS g FROM b_counts WHERE cnt > 0) ORDER BY g DESC, item_id LIMIT 50")

@@ -6,7 +6,7 @@ import ast
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkmill.operators.staging import scratch
@@ -35,9 +35,11 @@ def write_csv_bom(df: DataFrame, path: str) -> None:
 
 
 def reviews(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (also gzip) of reviews, with orig_order from the row's place in a file; order across files is by path."""
-    rows = spark.read.schema(REVIEWS).json(path)
-    return rows.withColumn("orig_order", F.monotonically_increasing_id())
+    """JSON lines (also gzip) of reviews, with file, the name, and orig_order, the row's 0-based line in it."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"), "value")
+    # a file's blocks are read in pieces; within one, the ids rise with the lines
+    numbered = lines.withColumn("orig_order", F.row_number().over(Window.partitionBy("file").orderBy("__at", "__id")) - 1)
+    return numbered.select(F.from_json("value", REVIEWS).alias("r"), "file", F.col("orig_order").cast("bigint").alias("orig_order")).select("r.*", "file", "orig_order")
 
 
 def literals(spark: SparkSession, path: str) -> DataFrame:

@@ -6,13 +6,14 @@ A Python data source (read and write) without the framework that defined the for
 
 from __future__ import annotations
 
-import gzip
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def crc32c_table() -> list[int]:
@@ -119,14 +120,16 @@ def decode_example(message: bytes) -> dict[str, list]:
     return found
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while at < len(data):
-        (n,) = struct.unpack_from("<Q", data, at)
-        if struct.unpack_from("<I", data, at + 8)[0] != masked_crc(data[at : at + 8]):
+def frames(stream: BinaryIO, verify: bool = True) -> Iterator[bytes]:
+    """Messages of a stream, one at a time; checksums of lengths are always compared, those of messages if verify."""
+    while head := stream.read(12):
+        if len(head) < 12 or struct.unpack_from("<I", head, 8)[0] != masked_crc(head[:8]):
             raise ValueError("damaged record length")
-        yield data[at + 12 : at + 12 + n]
-        at += 16 + n
+        (n,) = struct.unpack_from("<Q", head)
+        body = stream.read(n + 4)
+        if len(body) < n + 4 or verify and struct.unpack_from("<I", body, n)[0] != masked_crc(body[:n]):
+            raise ValueError("damaged record")
+        yield body[:n]
 
 
 def framed(message: bytes) -> bytes:
@@ -145,33 +148,52 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _files(path: str) -> list[str]:
+    from pyarrow import fs
+
+    store, bare = _store(path)
+    info = store.get_file_info(bare)
+    files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(bare, recursive=True))
+    prefix = path[: len(path) - len(bare)] if path.endswith(bare) else ""
+    return sorted(prefix + f.path for f in files if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+
+
+def _messages(path: str, verify: bool) -> Iterator[bytes]:
+    """Messages of a file, read as they are needed."""
+    store, bare = _store(path)
+    with store.open_input_stream(bare, compression=None) as f:
+        zipped = f.read(2) == b"\x1f\x8b"
+    with store.open_input_stream(bare, compression="gzip" if zipped else None) as f:
+        yield from frames(f, verify)
+
+
+def inferred(messages: Iterator[bytes]) -> StructType:
+    """Schema of some examples: strings, floats and integers; a feature of more than one value anywhere is an array."""
+    kinds: dict[str, tuple] = {}
+    for message in messages:
+        for name, values in decode_example(message).items():
+            one = StringType() if values and isinstance(values[0], bytes) else DoubleType() if values and isinstance(values[0], float) else LongType()
+            known, many = kinds.get(name, (one, False))
+            kinds[name] = (one if values else known, many or len(values) > 1)
+    return StructType([StructField(n, ArrayType(k) if many else k) for n, (k, many) in sorted(kinds.items())])
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.schema, self.path = schema, options["path"]
+        self.schema, self.path, self.verify = schema, options["path"], options.get("verify", "true") != "false"
 
     def partitions(self):
-        from pyarrow import fs
-
-        store, path = _store(self.path)
-        info = store.get_file_info(path)
-        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
-        return [_File(prefix + f.path) for f in files if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+        return [_File(f) for f in _files(self.path)]
 
     def read(self, partition):
-        store, path = _store(partition.path)
-        with store.open_input_stream(path, compression=None) as f:
-            data = f.read()
-        if data[:2] == b"\x1f\x8b":
-            data = gzip.decompress(data)
-        for message in frames(data):
+        for message in _messages(partition.path, self.verify):
             row = decode_example(message)
             out = []
             for field in self.schema.fields:
                 values, kind = row.get(field.name), field.dataType
                 many = isinstance(kind, ArrayType)
                 if isinstance(kind.elementType if many else kind, StringType) and values is not None:
-                    values = [v.decode() for v in values]
+                    values = [v.decode(errors="replace") for v in values]
                 out.append(values if many else values[0] if values else None)
             yield tuple(out)
 
@@ -181,29 +203,40 @@ class _Writer(DataSourceWriter):
         self.names, self.path, self.zip = schema.names, options["path"], options.get("compression", "gzip") == "gzip"
 
     def write(self, iterator):
-        data = b"".join(framed(encode_example({n: row[n] for n in self.names})) for row in iterator)
-        if data:
-            store, path = _store(self.path)
-            store.create_dir(path, recursive=True)
-            with store.open_output_stream(f"{path}/part-{uuid.uuid4().hex}.tfrecord" + ".gz" * self.zip, compression=None) as f:
-                f.write(gzip.compress(data) if self.zip else data)
+        store, path = _store(self.path)
+        out = None
+        try:
+            for row in iterator:
+                if out is None:
+                    store.create_dir(path, recursive=True)
+                    out = store.open_output_stream(f"{path}/part-{uuid.uuid4().hex}.tfrecord" + ".gz" * self.zip, compression="gzip" if self.zip else None)
+                out.write(framed(encode_example({n: row[n] for n in self.names})))
+        finally:
+            if out is not None:
+                out.close()
         return WriterCommitMessage()
 
 
 class TFRecord(DataSource):
-    """format("tfrecord"): a schema is needed to read; scalar columns take a list's first value."""
+    """format("tfrecord"): scalar columns take a list's first value.
+
+    Without a schema that of the first `sample` examples (100) of the first file that has any is taken. verify = false leaves
+    the messages' checksums unread, which is several times faster.
+    """
 
     @classmethod
     def name(cls):
         return "tfrecord"
 
     def schema(self):
-        raise ValueError("give a schema: features have no declared types")
+        for path in _files(self.options["path"]):
+            found = inferred(islice(_messages(path, True), int(self.options.get("sample", 100))))
+            if found.fields:
+                return found
+        raise ValueError("no example to take a schema from")
 
     def reader(self, schema):
         return _Reader(schema, self.options)
 
     def writer(self, schema, overwrite):
         return _Writer(schema, self.options)
-
-

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["agg_04_gini", "evl_07_metric_bundle", "evl_09_bucket_recall", "grf_05_injection", "joi_13_cosine_top_k", "prj_23_separators", "rnk_11_sweep", "seq_05_count_windows", "set_06_jaccard", "vec_08_residual_quantization", "vec_22_item_knn"]
+SOME = ["agg_04_gini", "evl_07_metric_bundle", "evl_09_bucket_recall", "evl_13_sampled_retrieval", "evl_18_bootstrap", "ext_07_metric_registry", "gen_03_noisy_vectors", "grf_05_injection", "joi_13_cosine_top_k", "prj_23_separators", "rnk_11_sweep", "seq_05_count_windows", "set_06_jaccard", "vec_08_residual_quantization", "vec_22_item_knn"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 

@@ -201,3 +201,73 @@ def test_bounded_injection_halves(spark):
     w = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src bigint, dst bigint, w double")
     assert graph.inject_bounded(v, w, lambda moved: 1.0, 0.5, beta=0.4, rounds=3)[1] == pytest.approx(0.05)
     assert graph.inject_bounded(v, w, lambda moved: 0.1, 0.5, beta=0.4)[1] == 0.4
+
+
+def test_slots_like_plain_python(spark):
+    rng = np.random.default_rng(8)
+    lists = {u: rng.permutation(9).tolist() for u in range(12)}
+    df = spark.createDataFrame([(u, int(i), r) for u, items in lists.items() for r, i in enumerate(items, 1)], "user_id bigint, item_id bigint, rank int")
+    used, want = {}, []
+    for u in range(12):
+        left = [i for i in lists[u] if used.get(i, 0) < 4]
+        shown = left[:2]
+        others = left[2:]
+        if others:
+            least = min(used.get(i, 0) for i in others)
+            shown.append(next(i for i in others if used.get(i, 0) == least))
+        for slot, i in enumerate(shown, 1):
+            used[i] = used.get(i, 0) + 1
+            want.append((u, i, slot, slot > 2))
+    assert rows(ranking.exposure_slots(df, 2, 4, explore=1)) == sorted(want) and max(used.values()) <= 4
+
+
+def test_simulator_minds_days_and_wants(spark):
+    from larkmill.operators import generate
+
+    users = spark.createDataFrame([(u, [1.0, 0.2, 0.1], 10.0 * u) for u in range(4)], "user_id bigint, e array<double>, stop double")
+    items = spark.createDataFrame([(i, [float(i % 2), 1.0, 0.0], 5.0 * i) for i in range(8)], "item_id bigint, e array<double>, start double")
+    made = generate.simulate(users, items, per_user=2, rounds=1, wanted=1, delta=0.5, blur=0.01)
+    got = rows(made.select("user_id", "item_id"))
+    assert got and all(5 * i <= 10 * u for u, i in got) and {u for u, _ in got} == {0, 1, 2, 3}
+    cold = generate.simulate(users.drop("stop"), items.drop("start"), per_user=4, rounds=1, temperature=0.001, wanted=1)
+    assert all(i % 2 for _, i in rows(cold.select("user_id", "item_id")))  # only the first dimension counts, in which even items have nothing
+
+
+def test_reviews_know_their_lines(spark, tmp_path):
+    import gzip
+
+    for name, n in (("a", 3), ("b", 2)):
+        with gzip.open(tmp_path / f"{name}.json.gz", "wt") as f:
+            f.writelines(json.dumps({"reviewerID": f"{name}{k}", "asin": "x", "unixReviewTime": k}) + "\n" for k in range(n))
+    got = rows(files.reviews(spark, f"{tmp_path}/*.json.gz").select("file", "orig_order", "reviewerID"))
+    assert got == [("a.json.gz", 0, "a0"), ("a.json.gz", 1, "a1"), ("a.json.gz", 2, "a2"), ("b.json.gz", 0, "b0"), ("b.json.gz", 1, "b1")]
+
+
+def test_nearest_valid_like_definition(spark):
+    rng = np.random.default_rng(9)
+    catalog = [(k, *map(int, rng.integers(0, 4, 3))) for k in range(30)]
+    asked = [(100 + k, *map(int, rng.integers(0, 6, 3))) for k in range(40)] + [(200, 9, 9, 9)]
+    want = {}
+    for k, *c in asked:
+        agree, item = max((sum(a == b for a, b in zip(c, x[1:], strict=True)), -x[0]) for x in catalog)
+        want[k] = (-item, agree)
+    got = evaluate.nearest_valid(spark.createDataFrame(asked, "id bigint, c1 int, c2 int, c3 int"), spark.createDataFrame(catalog, "item_id bigint, c1 int, c2 int, c3 int"), ["c1", "c2", "c3"])
+    assert {r["id"]: (r["nearest"], r["agree"]) for r in got.collect()} == want
+
+
+def test_example_records_without_a_schema(spark, tmp_path):
+    from larkmill.sources import tfrecord
+
+    spark.dataSource.register(tfrecord.TFRecord)
+    df = spark.createDataFrame([(1, "a", [1, 2], 0.5), (2, "é", [3], None)], "id bigint, text string, seq array<bigint>, x double").coalesce(1)
+    for kind in ("gzip", "none"):
+        df.write.format("tfrecord").option("compression", kind).mode("append").save(f"{tmp_path}/{kind}")
+        back = spark.read.format("tfrecord").load(f"{tmp_path}/{kind}")
+        assert back.schema.simpleString() == "struct<id:bigint,seq:array<bigint>,text:string,x:double>" and rows(back) == [(1, [1, 2], "a", 0.5), (2, [3], "é", None)]
+    part = next((tmp_path / "none").glob("*.tfrecord"))
+    data = bytearray(part.read_bytes())
+    data[-1] ^= 1
+    part.write_bytes(data)
+    with pytest.raises(Exception, match="damaged record"):
+        spark.read.format("tfrecord").schema("id bigint").load(f"{tmp_path}/none").collect()
+    assert spark.read.format("tfrecord").option("verify", "false").schema("id bigint").load(f"{tmp_path}/none").count() == 2
