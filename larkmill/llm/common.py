@@ -15,8 +15,9 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Most bytes of an Arrow batch that is sent to a Python worker (or one row).
 BATCH_BYTES = 4 << 20
-# Fixed value: Spark's own bound.
+# Spark's own bound, and the name of its setting that removes the shuffles of an execution at its end.
 ARROW_DEFAULT = "67108864b"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -86,22 +87,23 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def staged(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    sweep: the shuffles of the write are removed at its end; else Spark keeps them until the driver collects garbage.
+    """
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    if sweep:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Has Spark remove the shuffles of tables that nothing refers to any more; it notices when the driver collects garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def free(df: DataFrame, name: str) -> str:
     """name, or with underscores where df has a column of that name."""
     taken = {c.lower() for c in df.columns}

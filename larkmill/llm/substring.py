@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, let_go, light, rows, staged, table
+from .common import lean, light, rows, staged, table
 from .kernel import mix, windows, word_hashes
 
 WINDOW = 13
@@ -281,9 +281,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, kept_text: bool =
     known = docs.where("doc_id is not null and text is not null")
     hits = _exchanged(known.mapInArrow(light(_probe(window, buckets)), _SENT), True)
     near = known.join(hits, "doc_id").select("doc_id", "text", "hits")
-    hits = staged(_exchanged(near.mapInArrow(light(_extend(window, buckets, buckets)), _SENT), False), "repeats")
-    del near
-    let_go(docs.sparkSession)  # the shuffles so far are not needed any more
+    hits = staged(_exchanged(near.mapInArrow(light(_extend(window, buckets, buckets)), _SENT), False), "repeats", sweep=True)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * kept_text
     return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(light(_cut(window, buckets, kept_text)), schema)
 
