@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larkmill import __main__ as cli
 from larkmill import extend
 from larkmill.functions import chance, codes
-from larkmill.operators import cluster, evaluate, graph, ranking, recommend, sequence, stats
+from larkmill.operators import cluster, evaluate, graph, ranking, recommend, sequence, stats, vector
 from larkmill.sources import files
 
 
@@ -271,3 +271,25 @@ def test_example_records_without_a_schema(spark, tmp_path):
     with pytest.raises(Exception, match="damaged record"):
         spark.read.format("tfrecord").schema("id bigint").load(f"{tmp_path}/none").collect()
     assert spark.read.format("tfrecord").option("verify", "false").schema("id bigint").load(f"{tmp_path}/none").count() == 2
+
+
+@pytest.mark.parametrize("block", [0, 7])
+def test_neighbours_like_definition(spark, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (90, 4)).astype(float)
+    v[:30] = v[0]  # one vector of many rows: ties at the cut
+    rows_ = [(i, x.tolist(), "ab"[i % 2]) for i, x in enumerate(v)] + [(90, None, "a")]
+    table = spark.createDataFrame(rows_, "item_id bigint, e array<double>, label string")
+    norms = np.linalg.norm(v, axis=1)
+    cos = np.round((v / np.where(norms == 0, 1, norms)[:, None]) @ (v / np.where(norms == 0, 1, norms)[:, None]).T, 9)
+    monkeypatch.setattr(vector, "TILE", 5)
+    for group, floor in ((None, None), ("label", 0.05)):
+        want = []
+        for i in range(90):
+            others = [j for j in range(90) if j != i and (not group or (i - j) % 2) and (floor is None or cos[i, j] >= floor)]
+            want += [(i, j) for j in sorted(others, key=lambda j: (-cos[i, j], j))[:6]]
+        got = rows(vector.neighbours(table, 6, group=group, floor=floor, block=block).select("item_id", "nbr"))
+        assert got == sorted(want)
+    wide = np.full((3, 40), 0.5)
+    top = vector._best((np.full((3, 2), -np.inf), np.zeros((3, 2), np.int64)), wide, np.arange(40)[::-1], 2, None)
+    assert top[1].tolist() == [[0, 1]] * 3
