@@ -1,5 +1,6 @@
 """Extension points, writers and readers around them, and the parts of recommenders that differ by size."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -293,3 +294,11 @@ def test_neighbours_like_definition(spark, monkeypatch, block):
     wide = np.full((3, 40), 0.5)
     top = vector._best((np.full((3, 2), -np.inf), np.zeros((3, 2), np.int64)), wide, np.arange(40)[::-1], 2, None)
     assert top[1].tolist() == [[0, 1]] * 3
+
+
+def test_digests_of_parts_without_a_shuffle(spark):
+    h = spark.createDataFrame([(1, [4, 5, 4]), (2, [7]), (3, [])], "user_id bigint, items array<bigint>")
+    made = sequence.subsequence_digests(h)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert rows(made) == [(1, 0, 2, md5("4-5|4-5-4")), (1, 1, 1, md5("5-4"))]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
