@@ -167,7 +167,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 64)
                 yield part.select(["hub", "id"]).filter(pa.array(similarity(part.column(2), part.column(3)) >= SIMILARITY - 1e-12))
 
-    joined = _at_hub(pairs.join(texts, "id"), texts.withColumnRenamed("text", "hub_text"), "hub_text")
+    # a text is looked up once for its id, whatever the number of its hubs
+    hubs = pairs.groupBy("id").agg(F.collect_list(F.struct("hub", "n")).alias("hubs")).join(texts, "id")
+    joined = _at_hub(hubs.select("id", "text", F.explode("hubs").alias("x")).select("x.hub", "id", "x.n", "text"), texts.withColumnRenamed("text", "hub_text"), "hub_text")
     return joined.select("hub", "id", "text", "hub_text").mapInArrow(light(run), "hub bigint, id bigint").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
 
 
@@ -265,7 +267,9 @@ def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id
     # what a member brings along is put together once for all of its buckets
     brought = texts.join(mixed.select("id").distinct(), "id").join(alone.select("id", "sig", "keys"), "id")
     member = F.struct("id", "component", "sig", "keys", "text")
-    blocks = mixed.join(brought, "id").groupBy("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    places = mixed.groupBy("id", "component").agg(F.collect_list(F.struct("key", "blocks")).alias("places"))
+    placed = places.join(brought, "id").select("id", "component", "sig", "keys", "text", F.explode("places").alias("x")).select("x.*", "id", "component", "sig", "keys", "text")
+    blocks = placed.groupBy("key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).agg(F.array_sort(F.collect_list(member)).alias("members"))
     blocks = staged(blocks, "blocks")
     parts = F.ceil(F.col("blocks") / BLOCKS).cast("int")
     left = blocks.select("key", F.col("block").alias("i"), F.pmod("block", parts).alias("part"), F.col("members").alias("l"))

@@ -541,3 +541,13 @@ def test_odd_tables(spark, odd, empty, bench_items, trees):
         assert decontaminate.drop_contaminated(docs, bench_items).columns == docs.columns
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert urlfilter.filter_urls(pages).count() == 0 and warc.archive(pages)[1].count() == 0
+
+
+def test_a_text_is_looked_up_once_for_all_of_its_hubs(spark):
+    docs = [(i, " ".join(f"w{k}" for k in range(30)) + (" x" if i % 2 else "")) for i in range(6)]
+    texts = spark.createDataFrame(docs, "id bigint, text string")
+    pairs = [(h, i, 6) for i in range(2, 6) for h in (0, 1)]
+    found = minhash._verified(spark.createDataFrame(pairs, "hub bigint, id bigint, n bigint"), texts)
+    assert sorted(map(tuple, found.collect())) == sorted((h, i) for h, i, _ in pairs)
+    node, below = found._jdf.queryExecution().optimizedPlan().toString(), "explode(hubs"
+    assert below in node and re.search(r"Join Inner, .*\(id#\d+L = id#\d+L\)", node[node.index(below) :])
