@@ -302,3 +302,23 @@ def test_digests_of_parts_without_a_shuffle(spark):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     assert rows(made) == [(1, 0, 2, md5("4-5|4-5-4")), (1, 1, 1, md5("5-4"))]
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_users_stream_through_the_one_task(spark):
+    """No group is gathered in Python, and lists cut by batches come out whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = [(u, i, r, 1 / (1 + r)) for u in range(9) for r, i in enumerate(((u + 3 * r) % 7 for r in range(7)), 1)]
+        ranked = spark.createDataFrame(made[::-1], "user_id bigint, item_id bigint, rank bigint, score double").repartition(3)
+        seen, want = {}, []
+        for u in range(9):
+            mine = [(i, np.log(s) - 0.5 * np.log1p(seen.get(i, 0))) for v, i, _, s in made if v == u]
+            placed = [i for i, _ in sorted(mine, key=lambda x: -x[1])]
+            want += [(u, i, n) for n, i in enumerate(placed, 1)]
+            for i in placed[:2]:
+                seen[i] = seen.get(i, 0) + 1
+        for df in (ranking.rerank_exposure(ranked, 0.5, slots=2), ranking.exposure_slots(ranked, 2, 4, explore=1)):
+            assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(ranking.rerank_exposure(ranked, 0.5, slots=2)) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
