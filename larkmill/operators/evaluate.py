@@ -113,6 +113,20 @@ def sampled_retrieval(queries: DataFrame, catalog: DataFrame, negatives: int, se
     return joined.groupBy("query_id", "positive").agg((F.count_if(F.col("__x") > F.col("__s")) + 1).alias("place"), F.count("__x").alias("n"))
 
 
+def strict_ranks(vectors: DataFrame, target: Column, key: str = "item_id", vec: str = "e", group: str = "label") -> DataFrame:
+    """(key, r): how many others of the row's group have a larger dot product (9 digits) with it than its target; rows whose target
+    is themselves, missing or of another group are left out.
+
+    Targets are scored first, so that only rows with one meet their group, and the pairs are counted where they are made.
+    """
+    other = vectors.select(group, F.col(key).alias("__cand"), F.col(vec).alias("__f"))
+    score = F.round(dot(F.col(vec), F.col("__f")), 9)
+    aimed = vectors.select(group, key, vec, target.alias("__cand")).where(F.col(key) != F.col("__cand")).join(other, [group, "__cand"])
+    aimed = aimed.select(group, key, vec, score.alias("__ts")).where(F.col("__ts").isNotNull())
+    pairs = aimed.join(other, group).where(F.col(key) != F.col("__cand"))
+    return pairs.groupBy(key).agg(F.count_if(score > F.col("__ts")).alias("r"))
+
+
 def beam_search(transitions: DataFrame, beams: int, levels: int, start: list[int] = (), valid: DataFrame | None = None) -> DataFrame:
     """(path array, logp, rank): the best code paths of a transition table (level, prev, code, p), level by level.
 

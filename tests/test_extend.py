@@ -322,3 +322,17 @@ def test_users_stream_through_the_one_task(spark):
         assert rows(ranking.rerank_exposure(ranked, 0.5, slots=2)) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_strict_ranks_meet_only_rows_with_a_target(spark):
+    rng = np.random.default_rng(2)
+    v, label = rng.normal(size=(40, 3)), [i % 3 for i in range(40)]
+    table = spark.createDataFrame([(i, v[i].tolist() if i != 4 else None, label[i]) for i in range(40)], "item_id bigint, e array<double>, label int")
+    want = []
+    for i in range(40):
+        to = (3 * i + 1) % 10
+        if i != 4 and to not in (i, 4) and label[i] == label[to]:
+            want.append((i, sum(round(v[i] @ v[j], 9) > round(v[i] @ v[to], 9) for j in range(40) if j not in (i, 4) and label[j] == label[i])))
+    got = evaluate.strict_ranks(table, (3 * F.col("item_id") + 1) % 10)
+    assert rows(got) == want and want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
