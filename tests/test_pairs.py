@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from larkmill.operators import joins
+from larkmill.operators import joins, match
 from larkmill.operators.ranking import hash_order, top_k
 
 
@@ -45,3 +45,18 @@ def test_two_hop_within_groups_without_paths(spark):
     got = joins.two_hop_within(items, ["kind"], 3, "a")
     assert rows(got) == rows(joins.two_hop(edges, edges, 3, "a"))
     assert len(rows(got)) == 3 * 116 and made_pairs(spark, got) <= 120
+
+
+def test_tables_without_a_matrix_of_all_people(spark):
+    n = 40_000
+    people = spark.range(n).select((F.col("id") * 3).alias("person"), F.lit("guest").alias("role"), (F.col("id") % 25).alias("cohort"))
+    scores = spark.range(n - 1).select((F.col("id") * 3).alias("a"), (F.col("id") * 3 + 3).alias("b"), F.lit(1.0).alias("score"))
+    sizes = match.table_sizes(n)
+    got = match.assign_tables(people, scores, sizes, rounds=200).groupBy("table").agg(F.count("*").alias("n"), F.count_distinct("person").alias("d"))
+    assert sorted(r["n"] for r in got.collect()) == sorted(sizes)
+    few = people.limit(12)
+    at = dict(rows(match.assign_tables(few, scores, [6, 6], rounds=3000)))
+    inside = sum(at[x] == at[x + 3] for x in range(0, 33, 3))
+    assert sorted(at) == list(range(0, 36, 3)) and inside >= 8
+    assert match.assign_tables(few, scores.where("a < 0"), [6, 6], rounds=5).count() == 12
+    assert match.assign_tables(people.limit(0), scores, [0], rounds=5).count() == 0
