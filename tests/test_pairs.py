@@ -1,8 +1,9 @@
 """Pair operators that no longer list all pairs, against plain versions."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from larkmill.operators import joins, match
+from larkmill.operators import joins, match, recommend, vector
 from larkmill.operators.ranking import hash_order, top_k
 
 
@@ -60,3 +61,33 @@ def test_tables_without_a_matrix_of_all_people(spark):
     assert sorted(at) == list(range(0, 36, 3)) and inside >= 8
     assert match.assign_tables(few, scores.where("a < 0"), [6, 6], rounds=5).count() == 12
     assert match.assign_tables(people.limit(0), scores, [0], rounds=5).count() == 0
+
+
+def test_reciprocal_overlap_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(match, "USERS", 7)
+    monkeypatch.setattr(match, "CHUNK", 3)
+    have = spark.range(240).select((F.col("id") % 40).alias("user_id"), (F.col("id") * 7 % 23).alias("item_id"), (F.col("id") % 3 + 1).alias("k")).dropDuplicates(["user_id", "item_id"])
+    want = spark.range(200).select((F.col("id") % 50).alias("user_id"), (F.col("id") * 5 % 29).alias("item_id"))
+    pairs = have.withColumnRenamed("user_id", "a").join(want.distinct().withColumnRenamed("user_id", "b"), "item_id").where("a <> b").groupBy("a", "b").agg(F.sum("k").alias("score"))
+    got = match.reciprocal_overlap(have, want)
+    assert rows(got) == rows(match.reciprocal(pairs)) != []
+    assert match.reciprocal_overlap(have.limit(0), want).count() == 0
+
+
+def test_content_knn_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 6)
+    monkeypatch.setattr(vector, "TILE", 4)
+    vectors = spark.range(50).select(F.col("id").alias("item_id"), F.array(*(F.cos(F.col("id") * (d + 1)) for d in range(3))).alias("e"))
+    train = spark.range(90).select((F.col("id") % 20).alias("user_id"), (F.col("id") * 7 % 60).alias("item_id"))
+    vecs = {r["item_id"]: np.array(r["e"]) / np.linalg.norm(r["e"]) for r in vectors.collect()}
+    seen = {}
+    for u, i in rows(train):
+        seen.setdefault(u, set()).add(i)
+    want = []
+    for u, items in seen.items():
+        p = np.mean([vecs[i] for i in items if i in vecs], axis=0)
+        score = sorted((-round(float(v @ p / np.linalg.norm(p)), 6), i) for i, v in vecs.items() if i not in items)[:4]
+        want += [(u, i, k + 1) for k, (_, i) in enumerate(score)]
+    got = recommend.content_knn(train, vectors, 4)
+    assert rows(got.select("user_id", "item_id", "rank")) == sorted(want)
+    assert rows(recommend.content_knn(train, vectors.where("item_id > 100"), 4)) == []
