@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from larkmill.operators import joins, match, recommend, vector
+from larkmill.operators import graph, joins, match, recommend, vector
 from larkmill.operators.ranking import hash_order, top_k
 
 
@@ -91,3 +91,23 @@ def test_content_knn_in_blocks(spark, monkeypatch):
     got = recommend.content_knn(train, vectors, 4)
     assert rows(got.select("user_id", "item_id", "rank")) == sorted(want)
     assert rows(recommend.content_knn(train, vectors.where("item_id > 100"), 4)) == []
+
+
+def test_bounded_injection_makes_edges_among_vectors_once(spark, monkeypatch):
+    lines = spark.range(400).select((F.col("id") % 90).alias("l_orderkey"), (F.col("id") * 7 % 60).alias("l_partkey"))
+    seq = spark.range(200).select((F.col("id") % 12).alias("user_id"), (F.col("id") * 11 % 60).alias("item_id"), F.col("id").alias("pos"))
+    part = spark.range(60).select(F.col("id").alias("p_partkey"), (F.col("id") % 5).alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"))
+    vectors = spark.range(20).select((F.col("id") * 2).alias("item_id"), F.array(F.cos("id"), F.sin("id")).alias("e"))
+    kept = {r["item_id"] for r in vectors.collect()}
+    every = graph.typed_edges(lines, seq, part)
+    near = graph.typed_edges(lines, seq, part, vectors)
+    assert rows(near) == [e for e in rows(every) if e[0] in kept and e[1] in kept] != []
+    assert {r[2] for r in rows(near)} == {"bought_together", "also_bought", "also_viewed"}
+    weights, made = graph.undirected_weights(every), []
+    means = graph.neighbour_means
+    monkeypatch.setattr(graph, "neighbour_means", lambda *a: made.append(1) or means(*a))
+    moved, beta = graph.inject_bounded(vectors, graph.undirected_weights(near), lambda m: 1.0, 0.15)
+    assert len(made) == 1 and beta == 0.3 / 16
+    want = {r["item_id"]: r["e"] for r in graph.inject(vectors, weights, beta * 2).collect()}
+    got = {r["item_id"]: r["e"] for r in moved.collect()}
+    assert want.keys() == got.keys() and all(np.allclose(want[i], got[i]) for i in want)
