@@ -121,3 +121,66 @@ def test_shared_tokens_without_a_shuffle_of_pairs(spark, monkeypatch):
     want = a.withColumnRenamed("k", "a").join(a.withColumnRenamed("k", "b"), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
     assert rows(joins.shared_tokens(tokens, "k")) == rows(want) != []
     assert joins.shared_tokens(tokens.limit(0), "k").count() == 0
+
+
+def plain_draws(users, items, k, rounds, temperature, gamma, delta, blur):
+    """The simulator over lists of (id, vector, day), pair by pair."""
+    import hashlib
+    import math
+
+    def uniform(*keys):
+        return (int(hashlib.md5("-".join(str(x) for x in keys if x is not None).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    def unit(v):
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v] if n else v
+
+    done, pop = [], {}
+    for r in range(rounds):
+        new = []
+        for user, q, stop in users:
+            scored = []
+            for item, v, start in items:
+                if start > stop or (user, item) in {x[:2] for x in done}:
+                    continue
+                fit = sum(x * y for x, y in zip(unit(q), unit(v), strict=True))
+                fit += blur * math.sqrt(-2 * math.log(uniform(user, item, 1000))) * math.cos(2 * math.pi * uniform(user, item, 1001))
+                score = fit / temperature + delta * math.exp((start - stop) / 180) + (gamma * math.log1p(pop.get(item, 0)) if r else 0.0)
+                scored.append((-round(score - math.log(-math.log(uniform(user, item, r))), 9), item))
+            new += [(user, item, r) for _, item in sorted(scored)[:k]]
+        done += new
+        for _, item, _ in new:
+            pop[item] = pop.get(item, 0) + 1
+    return sorted(done)
+
+
+def test_simulator_lists_no_pairs(spark, monkeypatch):
+    from larkmill.operators import generate
+
+    rng = np.random.default_rng(11)
+    users = [(u, [float(x) for x in rng.random(4)], float(rng.integers(0, 90))) for u in range(60)]
+    items = [(i * 37, [float(x) for x in rng.random(4)], float(rng.integers(0, 90))) for i in range(50)]
+    plans, write = [], generate.staged
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(generate, "staged", seen)
+    monkeypatch.setattr(generate, "USERS", 7, raising=False)
+    monkeypatch.setattr(generate, "ITEMS", 11, raising=False)
+    u = spark.createDataFrame(users, "user_id bigint, e array<double>, stop double")
+    i = spark.createDataFrame(items, "item_id bigint, e array<double>, start double")
+    got = rows(generate.simulate(u, i, per_user=3, rounds=3, gamma=0.4, blur=0.1, delta=0.7))
+    assert got == plain_draws(users, items, 3, 3, 0.25, 0.4, 0.7, 0.1)
+    assert not any("explode" in p for p in plans)  # a row for each pair of user and item
+
+
+def test_numbers_of_many_keys_at_once():
+    import hashlib
+
+    from larkmill.functions.chance import Uniforms
+
+    for keys, left in (([str(i) for i in range(300)], "12345"), ([None, "a", "é" * 9], "u"), (["x" * 50, "y"], "abc"), (["1", "23"], None), (["9" * 20], "7" * 32), (["8"], "")):
+        want = [(int(hashlib.md5("-".join([x for x in (left, k, "3") if x is not None]).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for k in keys]
+        assert Uniforms(keys, 3)(left).tolist() == want
