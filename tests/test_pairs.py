@@ -1,5 +1,7 @@
 """Pair operators that no longer list all pairs, against plain versions."""
 
+import inspect
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -184,3 +186,20 @@ def test_numbers_of_many_keys_at_once():
     for keys, left in (([str(i) for i in range(300)], "12345"), ([None, "a", "é" * 9], "u"), (["x" * 50, "y"], "abc"), (["1", "23"], None), (["9" * 20], "7" * 32), (["8"], "")):
         want = [(int(hashlib.md5("-".join([x for x in (left, k, "3") if x is not None]).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for k in keys]
         assert Uniforms(keys, 3)(left).tolist() == want
+
+
+def test_many_staged_rows_are_not_broadcast(spark, tmp_path):
+    from larkmill.operators.staging import BROADCAST_ROWS, staged
+    from larkmill.plans import registry
+    from larkmill.plans.base import Tables
+
+    few, many = (staged(spark.range(n).select(F.lit(1).cast("bigint").alias("user_id"), F.lit(2).cast("bigint").alias("item_id"), F.lit(3).alias("rank")), "lists") for n in (10, BROADCAST_ROWS + 1))
+    other = spark.range(10**7).select(F.col("id").alias("user_id"), F.col("id").alias("item_id"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(other.join(few, ["user_id", "item_id"]))
+    for grown in (many, many.where("rank <= 50"), many.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("lam"))):
+        assert "Broadcast" not in plan(other.join(grown, ["user_id", "item_id"]))
+    asked = Tables(spark, str(tmp_path))
+    asked.__dict__.update(test=other, pred=many)
+    met = inspect.getclosurevars(registry.queries()["set_04_intersection"]).nonlocals["f"](asked)
+    assert "Broadcast" not in plan(met)
