@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkmill import __main__ as cli
 from larkmill import extend
 from larkmill.functions import chance, codes
-from larkmill.operators import cluster, evaluate, graph, ranking, recommend, sequence, stats, vector
+from larkmill.operators import cluster, evaluate, graph, neighbours, ranking, recommend, sequence, stats, vector
 from larkmill.sources import files
 
 
@@ -107,6 +107,23 @@ def test_item_neighbours_alike_at_every_size(spark, monkeypatch):
     assert recommend.item_knn(empty, recommend.neighbour_lists(empty), 3).count() == 0
 
 
+def test_history_neighbours_by_blocks(spark, monkeypatch):
+    # some ids far apart, an item that all users have, repeated rows, rows without an id
+    have = [(u * 3, i if i else 1 << 40) for u, i in history(5, 60, 40)] + [(u * 3, 7) for u in range(60)]
+    train = spark.createDataFrame([*have, *have[:9], (None, 3), (3, None), (999, 1000)], "user_id bigint, item_id bigint")
+    small = rows(recommend.history_knn(train, 5, 4))
+    lists = rows(recommend.item_similarities(train, 4))
+    assert small == rows(recommend.item_knn(train.dropna(), recommend.neighbour_lists(train, 4), 5)) and len(small) > 250
+    monkeypatch.setattr(recommend, "BROADCAST_PAIRS", 3)
+    # neither pairs nor lists are shuffled or joined
+    monkeypatch.setattr(type(train), "join", None)
+    assert lists == rows(recommend.item_similarities(train, 4)) and small == rows(recommend.history_knn(train, 5, 4))
+    for name, least in (("PAIRS", 50), ("CUT", 20), ("WIDTH", 7), ("REACH", 300), ("ROW", 16), ("HELD", 40), ("SUMMED", 30), ("USERS", 3)):
+        monkeypatch.setattr(neighbours, name, least)
+    assert lists == rows(recommend.item_similarities(train, 4)) and small == rows(recommend.history_knn(train, 5, 4))
+    assert recommend.history_knn(train.where("false"), 3).count() == 0 and recommend.history_knn(train.where("user_id = 999"), 3).count() == 0
+
+
 def test_popularity_alike_at_every_size(spark, monkeypatch):
     train = spark.createDataFrame(history(), "user_id bigint, item_id bigint")
     counts = sequence.item_counts(train, spark.range(30).select(F.col("id").alias("item_id")))
